@@ -24,10 +24,15 @@ from pyspark.sql import functions as F
 
 from .words import chunks, filled, mix, split_words
 
-BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
+BUCKET_BITS, DIM, GRAMS = 18, 8, (3, 4, 5)
+BUCKETS = 1 << BUCKET_BITS
 #: Labelled texts that a model is fitted on at most, taken by a hash of their doc_id.
-SAMPLE = 6000
-STEPS, RATE, DECAY = 60, 0.05, 1e-6
+SAMPLE = 5000
+STEPS, RATE, DECAY = 120, 0.1, 1e-6
+#: Words of fewer texts aren't trained on; they are scored by their subwords.
+LEAST_TEXTS = 4
+#: Added to Adam's denominator: buckets whose gradients are far below it hardly move, so what single texts suggest isn't learnt.
+FLOOR = 1e-3
 #: A score of at least this is predicted toxic.
 THRESHOLD = 0.3
 _SCALE = 100.0
@@ -53,12 +58,12 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             if n in GRAMS:
                 fits = left[:m] >= n
                 owners.append(owner[:m][fits])
-                buckets.append((mix(h[fits] + np.uint64(n)) >> np.uint64(64 - 16)).astype(np.int32))
+                buckets.append((mix(h[fits] + np.uint64(n)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(mix(raw + np.arange(len(raw), dtype=np.uint64) * np.uint64(0) + np.uint64(77)) * (np.arange(len(raw), dtype=np.uint64) - at[:-1].astype(np.uint64)[owner] + np.uint64(1)), out=sums[1:])
         whole = mix(sums[at[1:]] - sums[at[:-1]])
     owners.append(np.arange(len(words), dtype=np.int32))
-    buckets.append((whole >> np.uint64(64 - 16)).astype(np.int32))
+    buckets.append((whole >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
     return np.concatenate(owners), np.concatenate(buckets)
 
 
@@ -93,35 +98,34 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS, seed: int = 5)
     flat, at = split_words(pc.utf8_lower(filled(texts)))
     coded = flat.dictionary_encode()
     n_words, n_texts = len(coded.dictionary), len(labels)
-    owner, bucket = subwords(coded.dictionary)
-    share = (1 / np.bincount(owner, minlength=n_words)).astype(np.float32)
-    # Texts as rows of word counts.
+    # Texts as rows of word counts, of the words that several texts have; each count is over all of its text's words.
     key = np.repeat(np.arange(n_texts), np.diff(at)) * np.int64(n_words) + coded.indices.to_numpy()
     key, count = np.unique(key, return_counts=True)
     text, word = (key // n_words).astype(np.int32), (key % n_words).astype(np.int32)
-    amount = (count / np.maximum(1, np.diff(at))[text]).astype(np.float32)
+    shared = np.bincount(word, minlength=n_words) >= LEAST_TEXTS
+    use = shared[word]
+    text, word, count = text[use], (np.cumsum(shared) - 1)[word[use]], count[use]
+    amount = count / np.maximum(1, np.diff(at))[text]
+    owner, bucket = subwords(coded.dictionary.filter(pa.array(shared)))
+    n_words = int(shared.sum())
+    share = 1 / np.maximum(1, np.bincount(owner, minlength=n_words))
     rng = np.random.default_rng(seed)
     params = {"e": rng.normal(0, 0.1, (BUCKETS, DIM)), "w": rng.normal(0, 0.5, (DIM, 2)), "b": np.zeros(2)}
     first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-    goal = np.eye(2)[labels]
     for step in range(1, steps + 1):
-        mapped = params["e"] @ params["w"]
-        logits = np.empty((n_texts, 2))
-        for c in range(2):
-            per_word = np.bincount(owner, mapped[:, c][bucket], n_words) * share
-            logits[:, c] = np.bincount(text, per_word[word] * amount, n_texts) * _SCALE + params["b"][c]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        back = (p - goal) / n_texts
-        r = np.empty((BUCKETS, 2))
-        for c in range(2):
-            per_word = np.bincount(word, back[:, c][text] * amount, n_words) * share * _SCALE
-            r[:, c] = np.bincount(bucket, per_word[owner], BUCKETS)
-        grads = {"e": r @ params["w"].T + DECAY * params["e"], "w": params["e"].T @ r, "b": back.sum(axis=0)}
+        # Of a softmax over two classes only the difference of the logits matters, and the gradients are each other's negatives.
+        odds = params["e"] @ (params["w"][:, 1] - params["w"][:, 0])
+        per_word = np.bincount(owner, odds[bucket], n_words) * share
+        logit = np.bincount(text, per_word[word] * amount, n_texts) * _SCALE + params["b"][1] - params["b"][0]
+        back = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) / n_texts
+        per_word = np.bincount(word, back[text] * amount, n_words) * share * _SCALE
+        r = np.bincount(bucket, per_word[owner], BUCKETS)
+        r = np.stack([-r, r], axis=1)
+        grads = {"e": r @ params["w"].T + DECAY * params["e"], "w": params["e"].T @ r, "b": np.array([-back.sum(), back.sum()])}
         for k, g in grads.items():
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.001 * (g * g - second[k])
-            params[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-10)
+            params[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + FLOOR)
     mapped = params["e"] @ params["w"]
     return Model((mapped[:, 1] - mapped[:, 0]) * _SCALE, float(params["b"][1] - params["b"][0]))
 
