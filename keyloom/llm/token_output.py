@@ -9,27 +9,34 @@ block has its id, number of ids, number of bytes, and bit offsets as checkpoints
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .huffman import CHECKPOINT, Coder, code_lengths
-from .pieces import Remembered, safe
+from .pieces import Remembered
 from .words import chunks, filled
 from .workspace import Workspace, partitions
 
-#: Distinct pieces that a Python worker remembers, twice at most.
-REMEMBERED = 200_000
+#: Distinct words that a Python worker remembers, twice at most.
+REMEMBERED = 400_000
 #: Coded bytes from which a block is closed.
 BLOCK_BYTES = 1 << 20
 END_ID = 2
+#: Marks that the split pattern takes together when they follow a word.
+_STOPS = ".,;:!?"
+_WHITE = regex.compile(r"[\s\x1c-\x1f\x85]")
 
-_IDS = "doc_id long, tie long, n_tokens long, ids binary"
+
+_IDS = "doc_id long, tie long, n_tokens long, ids binary, counts binary"
 _CODED = "doc_id long, tie long, n_tokens long, n_bytes long, coded binary, marks binary"
 _BLOCK = "shard int, block long, start long, n_docs long, doc_ids binary, present binary, sizes binary, n_bytes binary, marks binary, coded binary"
 _READ = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -62,71 +69,134 @@ class PieceTokenizer:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.words = Remembered(self._word, REMEMBERED)
-        self.pieces = Remembered(self._piece, REMEMBERED)
 
     def _word(self, letters: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _letters(self, text: str) -> str:
+        return text if text.isascii() and text.isalnum() else text.encode().decode("latin-1").translate(self.letters)
+
+    def _part(self, part: str, space: str) -> bytes:
+        """A part without white space after a given space or line break, by the rules for letters and plain punctuation or else by the library's own split."""
+        stem = part.rstrip(_STOPS)
+        if stem.isalpha():
+            word = self.words[space + self._letters(stem)]
+            return word + self.words[part[len(stem) :]] if len(stem) < len(part) else word
+        return self._whole((" " if space else "") + part)
 
     def _piece(self, piece: str) -> bytes:
-        if piece.isalpha():
-            return self.words[("Ġ" + piece) if piece.isascii() else (" " + piece).encode().decode("latin-1").translate(self.letters)]
-        return self._whole(" " + piece)
+        """What follows a space, up to the next one."""
+        first, line, rest = piece.partition("\n")
+        if line and first and rest and not _WHITE.search(first) and not _WHITE.search(rest):
+            return self._part(first, "\u0120") + self.words["\u010a"] + self._part(rest, "")
+        return self._part(piece, "\u0120")
 
     def _whole(self, text: str) -> bytes:
         if not text:
             return b""
         return b"".join([self.words[w] for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not safe(text):
-            return self._whole(text)
-        head, *rest = text.split(" ")
-        pieces = self.pieces
-        return self._whole(head) + b"".join([pieces[p] for p in rest])
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of null-free texts in a row, each followed by ``end_id``, and each text's number of ids.
+
+        Texts are cut before every space; each distinct piece of the batch is looked up once
+        and the pieces' ids are gathered side by side.  A text where a space follows other
+        white space isn't cut.
+        """
+        lists = pc.split_pattern(texts, " ")
+        flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        at = at - at[0]
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        joins = np.array([not p or p[-1].isspace() for p in names], bool)
+        heads, lasts = at[:-1], at[1:] - 1
+        bad = joins[codes] if len(codes) else np.zeros(0, bool)
+        bad[lasts] = False
+        bad[heads] &= pc.greater(pc.binary_length(flat.take(pa.array(heads))), 0).to_numpy(zero_copy_only=False)
+        sums = np.concatenate(([0], np.cumsum(bad)))
+        unsafe = sums[at[1:]] > sums[at[:-1]]
+        entries = [b""] * len(names)
+        used = np.ones(len(codes), bool)
+        used[heads] = False
+        for i in np.flatnonzero(unsafe):
+            used[at[i] : at[i + 1]] = False
+        words = self.words
+        for c in np.flatnonzero(np.bincount(codes[used], minlength=len(names))).tolist():
+            piece = names[c]
+            stem = piece.rstrip(_STOPS)
+            if stem.isalpha() and stem.isascii():
+                entries[c] = words["\u0120" + stem] + words[piece[len(stem) :]] if len(stem) < len(piece) else words["\u0120" + stem]
+            else:
+                entries[c] = self._piece(piece)
+        nothing, end = len(entries), len(entries) + 1
+        entries += [b"", array("I", [end_id]).tobytes()]
+        codes[~used] = nothing
+        for i, head in enumerate(flat.take(pa.array(heads)).to_numpy(zero_copy_only=False).tolist()):
+            codes[heads[i]] = len(entries)
+            entries.append(self._whole(texts[i].as_py()) if unsafe[i] else (self._part(head, "") if head and not _WHITE.search(head) else self._whole(head)))
+        sequence = np.insert(codes, at[1:], end)
+        length = np.array([len(e) for e in entries], np.int64) // 4
+        start = np.cumsum(length) - length
+        ids = np.frombuffer(b"".join(entries), np.uint32)
+        n = length[sequence]
+        total = np.concatenate(([0], np.cumsum(n)))
+        out = ids[np.repeat(start[sequence] - total[:-1], n) + np.arange(total[-1])]
+        ends = total[at[1:] + np.arange(1, len(texts) + 1)]
+        return out, np.diff(ends, prepend=0)
 
 
 _tokenizers: dict[str, PieceTokenizer] = {}
 
 
 def _tokenize(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizers.get(path) or _tokenizers.setdefault(path, PieceTokenizer(path))
+        total = np.zeros(0, np.int64)
         for batch in batches:
             texts = filled(batch.column("text"))
-            for a, b in chunks(texts):
-                ids = [tokenizer.encode(t) + end for t in texts.slice(a, b - a).to_pylist()]
-                sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("tie").slice(a, b - a), sizes, pa.array([_narrow(x) for x in ids], pa.binary())], names=_names(_IDS))
+            ranges = list(chunks(texts))
+            for i in range(0, len(ranges), 2):
+                a, b = ranges[i][0], ranges[min(i + 2, len(ranges)) - 1][1]
+                ids, sizes = tokenizer.encode(texts.slice(a, b - a), end_id)
+                found = np.bincount(ids, minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("tie").slice(a, b - a), pa.array(sizes, pa.int64()), _narrow(ids, sizes), pa.nulls(b - a, pa.binary())], names=_names(_IDS))
+        used = np.flatnonzero(total)
+        counts = np.stack([used, total[used]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=_names(_IDS))
 
     return run
 
 
-def _narrow(ids: bytes) -> bytes:
-    """Low bytes of all ids, then the next, and so on as far as any is used: like bytes together compress better."""
-    planes = np.frombuffer(ids, np.uint8).reshape(-1, 4).T
-    used = max((j + 1 for j in range(4) if planes[j].any()), default=1)
-    return planes[: max(2, used)].tobytes()
+def _narrow(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Each text's ids as low bytes of all, then the next, and so on as far as any id of the batch needs: like bytes together compress better."""
+    width = max(2, (int(ids.max(initial=0)).bit_length() + 7) // 8)
+    ends = [0, *np.cumsum(sizes).tolist()]
+    planes = [((ids >> np.uint32(8 * j)) & np.uint32(255)).astype(np.uint8).tobytes() for j in range(width)]
+    return pa.array([b"".join([p[a:b] for p in planes]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
-    out = np.zeros((n, 4), np.uint8)
-    out[:, : len(planes)] = planes.T
-    return out.reshape(-1).view("<u4")
+def _wide(data: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The ids of several texts in a row."""
+    out = np.zeros(int(sizes.sum()), np.uint32)
+    raw, lengths = np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data], np.int64)
+    width = lengths // np.maximum(1, sizes)
+    start, base = np.cumsum(lengths) - lengths, np.cumsum(sizes) - sizes
+    for j in range(int(width.max(initial=0))):
+        has = width > j
+        n = np.where(has, sizes, 0)
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(base, n) + at] |= raw[np.repeat(start + j * sizes, n) + at].astype(np.uint32) << np.uint32(8 * j)
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for batch in batches:
-        for data, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
-            found = np.bincount(_wide(data, n), minlength=len(total))
-            found[: len(total)] += total
-            total = found
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+        for data in batch.column(0).to_pylist():
+            pairs = np.frombuffer(data, "<i8").reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["id", "n"])
 
 
 def _encode(lengths: np.ndarray):
@@ -136,7 +206,7 @@ def _encode(lengths: np.ndarray):
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 sizes = part.column("n_tokens").to_numpy()
-                ids = np.concatenate([_wide(d, n) for d, n in zip(part.column("ids").to_pylist(), sizes.tolist(), strict=True)])
+                ids = _wide(part.column("ids").to_pylist(), sizes)
                 data, n_bytes, marks, n_marks = coder.encode(ids, sizes)
                 raw, raw_marks = data.tobytes(), marks.astype("<u4").tobytes()
                 ends, mark_ends = [0, *accumulate(n_bytes.tolist())], [0, *accumulate((4 * n_marks).tolist())]
@@ -202,13 +272,13 @@ def write_tokens(docs: DataFrame, work: Workspace, tokenizer_path: str, end_id:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tie"), F.col("text").cast("string").alias("text"))
     ids = work.write_zstd(rows.mapInArrow(_tokenize(tokenizer_path, end_id), _IDS), "ids")
-    counted = ids.select("n_tokens", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
+    counted = ids.select("counts").where("counts IS NOT NULL").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
     counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)
     for r in counted:
         counts[r.id] = r.n
     lengths = code_lengths(counts)
     code = work.write(spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, length int").coalesce(1), "code")
-    coded = ids.mapInArrow(_encode(lengths), _CODED)
+    coded = ids.where("n_tokens >= 0").drop("counts").mapInArrow(_encode(lengths), _CODED)
     blocks = coded.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").mapInArrow(_block(block_bytes), _BLOCK)
     blocks = work.write(blocks, "blocks")
     work.drop("ids")
