@@ -8,8 +8,11 @@
    more gives a star, and stars that overlap form clusters; a cluster is cut into blocks
    of :data:`BLOCK` classes and each two blocks are compared in one task, so memory and
    rows stay bounded and still no pair is left out.
-4. All candidates are verified on the shingle sets of the whole texts.  Links carry class
-   digests; components are found by :func:`.components.components`.
+4. Pairs that parity sketches prove too different are left out: a cell of a sketch is odd
+   where the sets' features there differ in number by an odd count, so two sketches differ
+   in no more cells than the sets differ in features.  That bound never drops a link.
+5. All other candidates are verified on the shingle sets of the whole texts.  Links carry
+   class digests; components are found by :func:`.components.components`.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ FREQUENT_SAMPLE, FREQUENT_KEPT, FREQUENT_SHARE = 20_000, 1 << 16, 0.001
 #: Candidates' ids are broadcast up to this number (8 bytes each) and joined by a shuffle beyond it.
 BROADCAST_IDS = 1 << 21
 
-_EMITTED = "r int, doc_id long, key binary, n long, sigs binary, at binary, keys binary"
+_EMITTED = "r int, doc_id long, key binary, n long, sketch binary, sigs binary, at binary, keys binary"
 _MET = "kind string, a binary, b binary, doc_id long, n long"
 
 
@@ -49,6 +52,39 @@ def class_key(features: np.ndarray) -> bytes:
         return mix(np.array([one + n, two + (one ^ (n << np.uint64(32)))], np.uint64)).tobytes()
 
 
+def parity_sketch(features: np.ndarray) -> bytes:
+    """One bit for each of 2^k cells, at least two for a feature: whether the set has an odd number of features there.
+
+    Halves of a sketch, combined by XOR, are the sketch of half as many cells.
+    """
+    cells = 1 << max(3, (2 * len(features) - 1).bit_length()) if len(features) else 8
+    counts = np.bincount((mix(features ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(a: bytes, n_a: int, b: bytes, n_b: int, percent: int) -> bool:
+    """Whether sets of these sizes and sketches can have 100 * intersection >= percent * union."""
+    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
+        return False
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
+def _screen(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("sketch_a", "n_a", "sketch_b", "n_b"))
+            kept = batch.select(["a", "b"]).filter(pa.array([may_link(*row, percent) for row in zip(*columns, strict=True)], pa.bool_()))
+            if kept.num_rows:
+                yield kept
+
+    return run
+
+
 def _frequent(texts: DataFrame, width: int) -> np.ndarray:
     """Hashes of shingles that a good share of documents have, from a bounded sample of them."""
     total = texts.count()
@@ -75,15 +111,16 @@ def _emit(width: int, percent: int, reducers: int, frequent: np.ndarray):
         for batch in batches:
             texts, ids = filled(batch.column(1)), batch.column(0)
             for lo, hi in _slices(texts):
-                keys, sizes, seen, sigs = [], [], {}, []
+                keys, sizes, sketches, seen, sigs = [], [], [], {}, []
                 for features in shingle_sets(texts.slice(lo, hi - lo), width):
                     key = class_key(features)
                     keys.append(key)
                     sizes.append(len(features))
+                    sketches.append(parity_sketch(features))
                     if len(features) and key not in seen:
                         seen[key] = len(seen)
                         sigs.append(signatures(features, bands, frequent))
-                yield from _packed(ids.slice(lo, hi - lo), keys, sizes, list(seen), sigs, reducers)
+                yield from _packed(ids.slice(lo, hi - lo), keys, sizes, sketches, list(seen), sigs, reducers)
 
     return run
 
@@ -95,12 +132,12 @@ def _slices(texts: pa.Array, group: int = 4) -> Iterator[tuple[int, int]]:
         yield ranges[i][0], ranges[min(i + group, len(ranges)) - 1][1]
 
 
-def _packed(ids: pa.Array, keys: list[bytes], sizes: list[int], classes: list[bytes], sigs: list[np.ndarray], reducers: int) -> Iterator[pa.RecordBatch]:
+def _packed(ids: pa.Array, keys: list[bytes], sizes: list[int], sketches: list[bytes], classes: list[bytes], sigs: list[np.ndarray], reducers: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and one for each reducer with its share of the signatures: 32 bits of each, where its class stands in the row's list, that list."""
     own = np.array([int.from_bytes(k[:8], "little") % reducers for k in keys], np.int32)
     n = len(keys)
     none = pa.nulls(n, pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(own), ids.cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), none, none, none], names=_names(_EMITTED))
+    yield pa.RecordBatch.from_arrays([pa.array(own), ids.cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none, none, none], names=_names(_EMITTED))
     if not sigs:
         return
     all_sigs = np.concatenate(sigs)
@@ -118,7 +155,7 @@ def _packed(ids: pa.Array, keys: list[bytes], sizes: list[int], classes: list[by
             kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
             rows.append((r, all_sigs[a:b].astype(np.uint32).tobytes(), at.astype(kind).tobytes(), names[used].tobytes()))
     m = len(rows)
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), *(pa.array([x[i] for x in rows], pa.binary()) for i in (1, 2, 3))], names=_names(_EMITTED))
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), *(pa.array([x[i] for x in rows], pa.binary()) for i in (1, 2, 3))], names=_names(_EMITTED))
 
 
 def _names(schema: str) -> list[str]:
@@ -132,7 +169,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = batch.column("sigs").is_valid()
         docs = batch.filter(packed.__class__.from_pandas(~packed.to_numpy(zero_copy_only=False)))
         if docs.num_rows:
-            yield _met(["doc"] * docs.num_rows, docs.column("key"), None, docs.column("doc_id"), docs.column("n"))
+            yield _met(["doc"] * docs.num_rows, docs.column("key"), docs.column("sketch"), docs.column("doc_id"), docs.column("n"))
         rows = batch.filter(packed)
         for s, at, names in zip(*(rows.column(c).to_pylist() for c in ("sigs", "at", "keys")), strict=True):
             s, names = np.frombuffer(s, np.uint32), np.frombuffer(names, "V16")
@@ -274,12 +311,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     frequent = _frequent(texts, width)
     met = work.write(texts.mapInArrow(_emit(width, percent, reducers, frequent), _EMITTED).repartitionById(reducers, "r").mapInArrow(_meet, _MET), "met")
     rows = met.where("kind = 'doc'").select("doc_id", F.col("a").alias("key"), "n")
-    pairs = work.write(met.where("kind = 'pair'").select("a", "b").distinct(), "pairs")
+    classes = work.write(met.where("kind = 'doc' AND n > 0").groupBy(F.col("a").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("b").alias("sketch")), "classes")
+    facts = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = met.where("kind = 'pair'").select("a", "b").distinct().join(facts("a"), "a").join(facts("b"), "b")
+    pairs = work.write(pairs.mapInArrow(_screen(percent), "a binary, b binary"), "pairs")
     stars = met.where("kind = 'large'").select("a", "b")
     clusters = work.write(components(stars, work, "clusters").toDF("key", "cluster"), "clusters")
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(clusters.select("key")).distinct()
-    found = work.write(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(wanted, "key", "left_semi"), "wanted")
+    found = work.write(classes.select("key", "doc_id").join(wanted, "key", "left_semi"), "wanted")
     ids = found.select(F.col("doc_id").alias("wanted_id")).distinct()
     ids = F.broadcast(ids) if found.count() <= BROADCAST_IDS else ids
     named = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(_keyed(width), "key binary, text string")
