@@ -125,7 +125,7 @@ def _emit(width: int, percent: int, reducers: int, frequent: np.ndarray):
     return run
 
 
-def _slices(texts: pa.Array, group: int = 4) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, group: int = 12) -> Iterator[tuple[int, int]]:
     """Ranges of a few chunks each, as what one range shares is packed together."""
     ranges = list(chunks(texts))
     for i in range(0, len(ranges), group):

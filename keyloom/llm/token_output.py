@@ -156,8 +156,8 @@ def _tokenize(path: str, end_id: int):
         for batch in batches:
             texts = filled(batch.column("text"))
             ranges = list(chunks(texts))
-            for i in range(0, len(ranges), 2):
-                a, b = ranges[i][0], ranges[min(i + 2, len(ranges)) - 1][1]
+            for i in range(0, len(ranges), 8):
+                a, b = ranges[i][0], ranges[min(i + 8, len(ranges)) - 1][1]
                 ids, sizes = tokenizer.encode(texts.slice(a, b - a), end_id)
                 found = np.bincount(ids, minlength=len(total))
                 found[: len(total)] += total
