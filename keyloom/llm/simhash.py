@@ -122,7 +122,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     return to.join(nexts, ["to_bucket", "to_place"]).select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), digits("bits").alias("fingerprint"), digits("edited_bits").alias("edited_fingerprint"), likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), likeness(F.col("bits"), F.col("next_bits")).alias("near_next"))
 
 
-def _cuts(rows: DataFrame, per_range: int = 2000, most: int = 512) -> list[int]:
+def _cuts(rows: DataFrame, per_range: int = 2000, most: int = 4096) -> list[int]:
     """Approximate quantiles of doc_id between ranges of about ``per_range`` rows; ``most`` cuts at most."""
     ranges = max(1, min(most, rows.select("doc_id").count() // per_range))
     if ranges == 1:

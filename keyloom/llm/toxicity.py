@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word (lower case, between ``<`` and ``>``) is the mean of the vectors of its subwords:
-the whole word and its byte n-grams of 3 to 5, hashed into :data:`BUCKETS` rows of one
+the whole word and its byte n-grams of :data:`GRAMS`, hashed into :data:`BUCKETS` rows of one
 embedding matrix.  A text is the mean of its words' vectors, over all its words, and a
 linear softmax over two classes follows.  Embeddings and softmax are trained together by
 full-batch Adam on a bounded sample of labelled texts.  A misspelling of a word shares
@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 
 from .words import chunks, filled, mix, split_words
 
-BUCKET_BITS, DIM, GRAMS = 18, 8, (3, 4, 5)
+BUCKET_BITS, DIM, GRAMS = 18, 8, (3, 6, 8)
 BUCKETS = 1 << BUCKET_BITS
 #: Labelled texts that a model is fitted on at most, taken by a hash of their doc_id.
 SAMPLE = 5000
-STEPS, RATE, DECAY = 120, 0.1, 1e-6
+STEPS, RATE, DECAY = 120, 0.2, 1e-6
 #: Words of fewer texts aren't trained on; they are scored by their subwords.
 LEAST_TEXTS = 4
 #: Added to Adam's denominator: buckets whose gradients are far below it hardly move, so what single texts suggest isn't learnt.
-FLOOR = 1e-3
+FLOOR = 1e-4
 #: A score of at least this is predicted toxic.
 THRESHOLD = 0.3
 _SCALE = 100.0
