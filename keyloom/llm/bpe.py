@@ -13,19 +13,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import Remembered, safe
-from .words import filled
+from .pieces import PieceEncoder, gather
+from .words import chunks, filled
 
-#: Distinct pieces that a Python worker remembers, twice at most.
-REMEMBERED = 200_000
+#: Distinct words that a Python worker remembers, twice at most.
+REMEMBERED = 400_000
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -147,53 +149,63 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class TextEncoder:
-    """Splits texts by a pattern and encodes each match for itself; null-free strings only."""
+class TextEncoder(PieceEncoder):
+    """Splits texts by a pattern and encodes each match for itself, each distinct one once while it is remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(REMEMBERED)
         self.pairs = BytePairs(ranks)
         self.find = regex.compile(pattern).findall
-        self.tokens = Remembered(lambda t: self.pairs.encode(t.encode("utf-8", "surrogatepass")), REMEMBERED)
-        self.pieces = Remembered(lambda p: self._encode(" " + p), REMEMBERED)
 
-    def _encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for token in self.find(text):
-            out += self.tokens[token]
-        return out
+    def _word(self, word: str) -> bytes:
+        return array("I", self.pairs.encode(word.encode())).tobytes()
 
-    def encode(self, text: str) -> list[int]:
-        if not safe(text):
-            return self._encode(text)
-        head, *rest = text.split(" ")
-        out = self._encode(head)
-        pieces = self.pieces
-        for piece in rest:
-            out += pieces[piece]
-        return out
+    def _whole(self, text: str) -> bytes:
+        return b"".join([self.words[w] for w in self.find(text)])
 
 
-_encoders: dict[tuple[str, str], TextEncoder] = {}
+class TextDecoder:
+    """Bytes, and decimal digits with a comma, of ids; all ids of a batch at once."""
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        top = max(bytes_of) + 1
+        self.bytes = self._table([bytes_of.get(i, b"") for i in range(top)])
+        self.digits = self._table([b"%d," % i for i in range(top)])
+
+    @staticmethod
+    def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([len(e) for e in entries], np.int64), np.frombuffer(b"".join(entries), np.uint8)
+
+    @staticmethod
+    def spell(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        out, at = gather(*table, ids.astype(np.int64))
+        return memoryview(out), at
+
+
+_encoders: dict[tuple[str, str], tuple[TextEncoder, TextDecoder]] = {}
 
 
 def _run(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (path, pattern)
         if key not in _encoders:
-            _encoders[key] = TextEncoder(load_ranks(path), pattern)
-        encoder = _encoders[key]
-        decimal = {i: str(i) for i in encoder.pairs.bytes_of}.__getitem__
-        decode = encoder.pairs.decode
+            made = TextEncoder(load_ranks(path), pattern)
+            _encoders[key] = made, TextDecoder(made.pairs.bytes_of)
+        encoder, decoder = _encoders[key]
         for batch in batches:
-            counts, digests, decoded = [], [], []
             texts = filled(batch.column(1))
-            for lo in range(0, len(texts), 256):
-                for text in texts.slice(lo, 256).to_pylist():
-                    ids = encoder.encode(text)
-                    counts.append(len(ids))
-                    digests.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ranges = list(chunks(texts))
+            for i in range(0, len(ranges), 4):
+                a, b = ranges[i][0], ranges[min(i + 4, len(ranges)) - 1][1]
+                ids, sizes = encoder.encode(texts.slice(a, b - a))
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                digests, decoded = [], []
+                raw, at = decoder.spell(decoder.bytes, ids)
+                spelt, dat = decoder.spell(decoder.digits, ids)
+                for x, y in zip(ends[:-1], ends[1:], strict=True):
+                    digests.append(hashlib.sha256(spelt[dat[x] : max(dat[x], dat[y] - 1)]).hexdigest())
+                    decoded.append(hashlib.sha256(raw[at[x] : at[y]]).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 

@@ -2,18 +2,23 @@
 
 Tokenizers of this kind never merge across the matches of a split pattern, and a space
 that follows a visible character always starts a match.  So a text may be cut before each
-such space, and equal pieces are tokenised once as long as they are remembered.
+such space; each distinct piece of a batch is encoded once, and the pieces' ids are
+gathered side by side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: White space before a space: there a cut could part what the pattern takes as one run.
-_RUN = regex.compile(r"[\s\x1c-\x1f\x85] ")
-#: Longer pieces aren't remembered.
+#: Marks that the split pattern takes together when they follow a word.
+STOPS = ".,;:!?"
+WHITE = regex.compile(r"[\s\x1c-\x1f\x85]")
+#: Longer words aren't remembered.
 LONGEST = 48
 
 
@@ -36,6 +41,97 @@ class Remembered(dict):
         return value
 
 
-def safe(text: str) -> bool:
-    """Whether the text may be cut before every space."""
-    return _RUN.search(text) is None
+def plain(stem: str) -> bool:
+    """Whether a word is of letters only, of scripts that all Unicode versions agree on."""
+    return stem.isalpha() and (stem.isascii() or max(stem) < "\u0530")
+
+
+class PieceEncoder:
+    """Encodes batches of texts; a subclass gives :meth:`_word` and :meth:`_whole`.
+
+    ``space`` and ``line`` are what words write for a leading space and a line break.
+    """
+
+    space, line = " ", "\n"
+
+    def __init__(self, remembered: int):
+        self.words = Remembered(self._word, remembered)
+
+    def _word(self, word: str) -> bytes:
+        """Little-endian 32-bit ids of one match of the split pattern, as words write it."""
+        raise NotImplementedError
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of any text, by the split pattern itself."""
+        raise NotImplementedError
+
+    def _letters(self, text: str) -> str:
+        """Letters and marks as words write them."""
+        return text
+
+    def _part(self, part: str, space: str) -> bytes:
+        """A part without white space, after a given space or none: letters and plain marks by rule, all else by the pattern."""
+        stem = part.rstrip(STOPS)
+        if plain(stem):
+            word = self.words[space + self._letters(stem)]
+            return word + self.words[part[len(stem) :]] if len(stem) < len(part) else word
+        return self._whole((" " if space else "") + part)
+
+    def _piece(self, piece: str) -> bytes:
+        """What follows a space, up to the next one."""
+        first, line, rest = piece.partition("\n")
+        if line and first and rest and not WHITE.search(first) and not WHITE.search(rest):
+            return self._part(first, self.space) + self.words[self.line] + self._part(rest, "")
+        return self._part(piece, self.space)
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of null-free large strings in a row, each text's followed by ``end``, and each text's number of ids.
+
+        A text where a space follows other white space isn't cut.
+        """
+        lists = pc.split_pattern(texts, " ")
+        flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        at = at - at[0]
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        joins = np.array([not p or p[-1].isspace() for p in names], bool)
+        heads, lasts = at[:-1], at[1:] - 1
+        first = flat.take(pa.array(heads))
+        bad = joins[codes] if len(codes) else np.zeros(0, bool)
+        bad[lasts] = False
+        bad[heads] &= pc.greater(pc.binary_length(first), 0).to_numpy(zero_copy_only=False)
+        sums = np.concatenate(([0], np.cumsum(bad)))
+        unsafe = sums[at[1:]] > sums[at[:-1]]
+        entries = [b""] * len(names)
+        used = np.ones(len(codes), bool)
+        used[heads] = False
+        for i in np.flatnonzero(unsafe):
+            used[at[i] : at[i + 1]] = False
+        words, space = self.words, self.space
+        for c in np.flatnonzero(np.bincount(codes[used], minlength=len(names))).tolist():
+            piece = names[c]
+            stem = piece.rstrip(STOPS)
+            if stem.isascii() and stem.isalpha():
+                entries[c] = words[space + stem] + words[piece[len(stem) :]] if len(stem) < len(piece) else words[space + stem]
+            else:
+                entries[c] = self._piece(piece)
+        nothing, last = len(entries), len(entries) + 1
+        entries += [b"", end]
+        codes[~used] = nothing
+        for i, head in enumerate(first.to_numpy(zero_copy_only=False).tolist()):
+            codes[heads[i]] = len(entries)
+            entries.append(self._whole(texts[i].as_py()) if unsafe[i] else (self._part(head, "") if head and not WHITE.search(head) else self._whole(head)))
+        sequence = np.insert(codes, at[1:], last)
+        ids, total = gather([len(e) // 4 for e in entries], np.frombuffer(b"".join(entries), np.uint32), sequence)
+        ends = total[at[1:] + np.arange(1, len(texts) + 1)]
+        return ids, np.diff(ends, prepend=0)
+
+
+def gather(lengths: list[int] | np.ndarray, values: np.ndarray, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of entries side by side: entry i has lengths[i] of ``values``; and where each of ``sequence`` starts in the result, with its end."""
+    length = np.asarray(lengths, np.int64)
+    start = np.cumsum(length) - length
+    n = length[sequence]
+    total = np.concatenate(([0], np.cumsum(n)))
+    return values[np.repeat(start[sequence] - total[:-1], n) + np.arange(total[-1])], total
