@@ -15,14 +15,12 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .huffman import CHECKPOINT, Coder, code_lengths
-from .pieces import Remembered
+from .pieces import PieceEncoder
 from .words import chunks, filled
 from .workspace import Workspace, partitions
 
@@ -31,11 +29,6 @@ REMEMBERED = 400_000
 #: Coded bytes from which a block is closed.
 BLOCK_BYTES = 1 << 20
 END_ID = 2
-#: Marks that the split pattern takes together when they follow a word.
-_STOPS = ".,;:!?"
-_WHITE = regex.compile(r"[\s\x1c-\x1f\x85]")
-
-
 _IDS = "doc_id long, tie long, n_tokens long, ids binary, counts binary"
 _CODED = "doc_id long, tie long, n_tokens long, n_bytes long, coded binary, marks binary"
 _BLOCK = "shard int, block long, start long, n_docs long, doc_ids binary, present binary, sizes binary, n_bytes binary, marks binary, coded binary"
@@ -53,97 +46,33 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class PieceTokenizer:
-    """Ids of whole texts by the tokenizers library, each distinct piece tokenised once while it is remembered.
+class PieceTokenizer(PieceEncoder):
+    """Ids of texts by the tokenizers library, each distinct word tokenised once while it is remembered.
 
     Strings of special tokens in a text are ordinary text.
     """
 
+    space, line = "\u0120", "\u010a"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__(REMEMBERED)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.normalizer is not None or "ByteLevel" not in type(self.tokenizer.pre_tokenizer).__name__:
             raise ValueError("a byte-level tokenizer without normaliser is needed")
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words = Remembered(self._word, REMEMBERED)
 
-    def _word(self, letters: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _letters(self, text: str) -> str:
-        return text if text.isascii() and text.isalnum() else text.encode().decode("latin-1").translate(self.letters)
-
-    def _part(self, part: str, space: str) -> bytes:
-        """A part without white space after a given space or line break, by the rules for letters and plain punctuation or else by the library's own split."""
-        stem = part.rstrip(_STOPS)
-        if stem.isalpha():
-            word = self.words[space + self._letters(stem)]
-            return word + self.words[part[len(stem) :]] if len(stem) < len(part) else word
-        return self._whole((" " if space else "") + part)
-
-    def _piece(self, piece: str) -> bytes:
-        """What follows a space, up to the next one."""
-        first, line, rest = piece.partition("\n")
-        if line and first and rest and not _WHITE.search(first) and not _WHITE.search(rest):
-            return self._part(first, "\u0120") + self.words["\u010a"] + self._part(rest, "")
-        return self._part(piece, "\u0120")
+        return text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
 
     def _whole(self, text: str) -> bytes:
-        if not text:
-            return b""
-        return b"".join([self.words[w] for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
-
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of null-free texts in a row, each followed by ``end_id``, and each text's number of ids.
-
-        Texts are cut before every space; each distinct piece of the batch is looked up once
-        and the pieces' ids are gathered side by side.  A text where a space follows other
-        white space isn't cut.
-        """
-        lists = pc.split_pattern(texts, " ")
-        flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-        at = at - at[0]
-        coded = flat.dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        joins = np.array([not p or p[-1].isspace() for p in names], bool)
-        heads, lasts = at[:-1], at[1:] - 1
-        bad = joins[codes] if len(codes) else np.zeros(0, bool)
-        bad[lasts] = False
-        bad[heads] &= pc.greater(pc.binary_length(flat.take(pa.array(heads))), 0).to_numpy(zero_copy_only=False)
-        sums = np.concatenate(([0], np.cumsum(bad)))
-        unsafe = sums[at[1:]] > sums[at[:-1]]
-        entries = [b""] * len(names)
-        used = np.ones(len(codes), bool)
-        used[heads] = False
-        for i in np.flatnonzero(unsafe):
-            used[at[i] : at[i + 1]] = False
-        words = self.words
-        for c in np.flatnonzero(np.bincount(codes[used], minlength=len(names))).tolist():
-            piece = names[c]
-            stem = piece.rstrip(_STOPS)
-            if stem.isalpha() and stem.isascii():
-                entries[c] = words["\u0120" + stem] + words[piece[len(stem) :]] if len(stem) < len(piece) else words["\u0120" + stem]
-            else:
-                entries[c] = self._piece(piece)
-        nothing, end = len(entries), len(entries) + 1
-        entries += [b"", array("I", [end_id]).tobytes()]
-        codes[~used] = nothing
-        for i, head in enumerate(flat.take(pa.array(heads)).to_numpy(zero_copy_only=False).tolist()):
-            codes[heads[i]] = len(entries)
-            entries.append(self._whole(texts[i].as_py()) if unsafe[i] else (self._part(head, "") if head and not _WHITE.search(head) else self._whole(head)))
-        sequence = np.insert(codes, at[1:], end)
-        length = np.array([len(e) for e in entries], np.int64) // 4
-        start = np.cumsum(length) - length
-        ids = np.frombuffer(b"".join(entries), np.uint32)
-        n = length[sequence]
-        total = np.concatenate(([0], np.cumsum(n)))
-        out = ids[np.repeat(start[sequence] - total[:-1], n) + np.arange(total[-1])]
-        ends = total[at[1:] + np.arange(1, len(texts) + 1)]
-        return out, np.diff(ends, prepend=0)
+        return b"".join([self.words[w] for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]) if text else b""
 
 
 _tokenizers: dict[str, PieceTokenizer] = {}
@@ -152,13 +81,13 @@ _tokenizers: dict[str, PieceTokenizer] = {}
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizers.get(path) or _tokenizers.setdefault(path, PieceTokenizer(path))
-        total = np.zeros(0, np.int64)
+        total, end = np.zeros(0, np.int64), array("I", [end_id]).tobytes()
         for batch in batches:
             texts = filled(batch.column("text"))
             ranges = list(chunks(texts))
             for i in range(0, len(ranges), 8):
                 a, b = ranges[i][0], ranges[min(i + 8, len(ranges)) - 1][1]
-                ids, sizes = tokenizer.encode(texts.slice(a, b - a), end_id)
+                ids, sizes = tokenizer.encode(texts.slice(a, b - a), end)
                 found = np.bincount(ids, minlength=len(total))
                 found[: len(total)] += total
                 total = found
@@ -278,8 +207,15 @@ def write_tokens(docs: DataFrame, work: Workspace, tokenizer_path: str, end_id:
         counts[r.id] = r.n
     lengths = code_lengths(counts)
     code = work.write(spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, length int").coalesce(1), "code")
-    coded = ids.where("n_tokens >= 0").drop("counts").mapInArrow(_encode(lengths), _CODED)
-    blocks = coded.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").mapInArrow(_block(block_bytes), _BLOCK)
+    # Shards are ranges between quantiles of doc_id; an id that several quantiles fall on is dealt over the shards between them.
+    # Range partitioning by Spark would encode everything once more, for its sample.
+    documents, shards = ids.where("n_tokens >= 0"), partitions(spark)
+    cuts = documents.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else None
+    cuts = F.lit([int(c) for c in cuts or []]).cast("array<bigint>")
+    below, upto = (F.size(F.filter(cuts, test)) for test in (lambda c: c < F.col("doc_id"), lambda c: c <= F.col("doc_id")))
+    shard = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below + F.pmod(F.col("tie"), (upto - below + 1).cast("long"))).cast("int")
+    coded = documents.drop("counts").mapInArrow(_encode(lengths), _CODED)
+    blocks = coded.repartitionById(shards, shard).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").mapInArrow(_block(block_bytes), _BLOCK)
     blocks = work.write(blocks, "blocks")
     work.drop("ids")
     return code, blocks
