@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import compare, like, truth
 from ..model import KEY, col, expand, has_key, matches, quoted, value_columns
+from ..plans.cut import written
 
 
 def project(df: DataFrame, patterns: list[str], tag_filter=None, keep_key: bool = True) -> DataFrame:
@@ -109,6 +110,8 @@ def add_sequence(df: DataFrame, order: list[Column], name: str = "sequence", sta
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("keyloom_part", F.spark_partition_id()).withColumn("keyloom_at", F.monotonically_increasing_id())
     # The id's low 33 bits count the rows of a sorted partition.
     placed = placed.withColumn("keyloom_at", F.col("keyloom_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    # Spark samples for its ranges anew in each use, so the placed rows are written once.
+    placed = written(placed)
     sizes = placed.groupBy("keyloom_part").agg(F.count("*").alias("keyloom_n"))
     before = sizes.select("keyloom_part", F.coalesce(F.sum("keyloom_n").over(Window.orderBy("keyloom_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("keyloom_before"))
     joined = placed.join(F.broadcast(before), "keyloom_part")

@@ -23,6 +23,7 @@ from ..operators import relational as R
 from ..operators import setops as U
 from ..operators.series import first_last
 from ..operators.windows import downsample
+from .cut import written
 from .lexer import SqlError
 from .parser import Node, node
 
@@ -479,7 +480,8 @@ class Compiler:
             scope.df = scope.df.crossJoin(found)  # one row
         else:
             row = fresh("row")
-            rows = scope.df.withColumn(row, F.monotonically_increasing_id())
+            # Numbered once, as both sides of the join below must agree on the numbers.
+            rows = written(scope.df.withColumn(row, F.monotonically_increasing_id()))
             hits = rows.join(inner, on, "left_semi").select(F.col(row), F.lit(True).alias(name))
             scope.df = rows.join(hits, row, "left").drop(row)
         hit = S.truth(F.col(name))

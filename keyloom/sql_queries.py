@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalar as S
 from .model import KEY, value_columns, with_tags
 from .operators.curve import curve_match
+from .plans.cut import scratch
 from .queries import keyed, query, table
 from .session import Session
 from .sources import files
@@ -21,12 +20,6 @@ from .udf import adapter, frames
 _TABLES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id"}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/keyloom-{uuid.uuid4().hex}"
-
-
 def session(spark: SparkSession, sf: str) -> Session:
     """A session with the driver's tables under the prefix ``db``; timestamps are epoch milliseconds, unique ids keep their column beside the key."""
     s = Session(spark, scratch(spark))
