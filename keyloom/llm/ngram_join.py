@@ -352,20 +352,22 @@ def _blocks(clusters: DataFrame, work: Workspace) -> DataFrame:
 def keep_one_per_component(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """The input rows whose doc_id names their component: one document of each group stays, all columns kept.
 
-    Of rows that repeat that doc_id in one component the least text stays.  Rows without a
-    doc_id stay only if their component has none with one.
+    Ids that name no component go.  Rows that repeat a staying id come down to one for each
+    of its texts.  Rows without a doc_id stay only if one of them is a component without ids.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "ngram_keep")
-    found = work.write(jaccard_components(docs, width, percent), "components")
-    heads = found.where("doc_id <=> component_id").groupBy(F.col("component_id").alias("kept_id")).agg(F.count("*").alias("rows_"))
-    names = heads.select("kept_id")
-    kept = docs.join(names, docs["doc_id"].eqNullSafe(names["kept_id"]), "left_semi")
-    again = heads.where("rows_ > 1").select("kept_id")
-    # Ids that several rows share are rare; only those go through an aggregate.
-    once = kept.join(again, kept["doc_id"].eqNullSafe(again["kept_id"]), "left_anti")
-    repeated = kept.join(again, kept["doc_id"].eqNullSafe(again["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(repeated)
+    found = jaccard_components(docs, width, percent)
+    named = work.write(found.groupBy(F.col("doc_id").alias("own_id")).agg(F.sum(F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")).alias("heads")).where("heads <> 1"), "named")
+    gone, again = named.agg(F.count_if(F.col("heads") == 0), F.count_if(F.col("heads") > 1)).first()
+    # Documents that go are few beside those that stay, so texts needn't be shuffled for them.
+    side = lambda condition, n: F.broadcast(named.where(condition)) if n <= BROADCAST_IDS else named.where(condition)
+    same = docs["doc_id"].eqNullSafe(F.col("own_id"))
+    kept = docs.join(side("heads = 0", gone), same, "left_anti") if gone else docs
+    if not again:
+        return kept
+    once = kept.join(side("heads > 1", again), same, "left_anti")
+    return once.unionByName(kept.join(side("heads > 1", again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
