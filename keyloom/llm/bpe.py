@@ -27,7 +27,7 @@ from .pieces import PieceEncoder, gather
 from .words import chunks, filled
 
 #: Distinct words that a Python worker remembers, twice at most.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
