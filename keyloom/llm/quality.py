@@ -3,8 +3,9 @@
 Each text gets a few ratios.  A KLL sketch of each ratio is kept for every language and
 source; sketches merge, so a source with few documents falls back to its language's merged
 sketch and a rare language to the merge of all.  A text is rejected where a ratio lies
-beyond its group's upper fence: a high quartile plus several times the spread below it.
-A floor under each fence keeps a group of very uniform texts from rejecting harmless ones.
+beyond its group's upper fence: a high quantile plus several times the spread below it.
+Where most of a group's texts have the same ratio the spread is nothing; a small least
+spread then stands for it, so that one odd character doesn't reject a text.
 Texts with too few words or mostly repeated phrases are rejected by the base rule.
 """
 
@@ -25,9 +26,10 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 #: Documents from which a group's own sketch is used.
 GROUP = 200
-#: Fence: the quantile HIGH plus SPREADS times its distance from the median, at least the floor.
-HIGH, SPREADS = 0.75, 8.0
-FLOORS = {"symbol_ratio": 0.15, "dup_line_ratio": 0.35, "repeat_ratio": 0.35, "upper_ratio": 0.35, "shout_ratio": 0.2, "word_chars_mean": 14.0}
+#: Fence: the quantile HIGH plus SPREADS times its distance from the median, which counts as the least spread at least.
+#: A group may hold a share 1 - HIGH of junk before its own junk moves the fence.
+HIGH, SPREADS = 0.85, 8.0
+LEAST_SPREADS = {"symbol_ratio": 0.005, "dup_line_ratio": 0.03, "repeat_ratio": 0.03, "upper_ratio": 0.002, "shout_ratio": 0.005, "word_chars_mean": 0.05}
 #: Groups up to which fences are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -147,24 +149,24 @@ def base_failed() -> F.Column:
 def sketches(counted: DataFrame) -> DataFrame:
     """(keyloom_lang, keyloom_source, n, one KLL sketch for each ratio) of the texts that pass the base rule; sketches may be stored and merged later."""
     ratios = counted.where(~base_failed()).select(F.col("keyloom_lang"), F.col("keyloom_source"), *(c.alias(name) for name, c in _ratios().items()))
-    return ratios.groupBy("keyloom_lang", "keyloom_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(name).alias(name) for name in FLOORS))
+    return ratios.groupBy("keyloom_lang", "keyloom_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(name).alias(name) for name in LEAST_SPREADS))
 
 
 def fences(kept: DataFrame) -> DataFrame:
     """The upper fence of each ratio for every language and source, from their sketches."""
-    merged = lambda *by: kept.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(name).alias(name) for name in FLOORS))
+    merged = lambda *by: kept.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(name).alias(name) for name in LEAST_SPREADS))
 
     def fence(df: DataFrame, mark: str, by: list[str]) -> DataFrame:
-        high = {name: F.kll_sketch_get_quantile_double(name, F.lit(HIGH)) for name in FLOORS}
-        mid = {name: F.kll_sketch_get_quantile_double(name, F.lit(0.5)) for name in FLOORS}
-        return df.select(*by, F.struct(F.col("n"), *(F.greatest(F.lit(FLOORS[name]), high[name] + SPREADS * (high[name] - mid[name])).alias(name) for name in FLOORS)).alias(mark))
+        high = {name: F.kll_sketch_get_quantile_double(name, F.lit(HIGH)) for name in LEAST_SPREADS}
+        mid = {name: F.kll_sketch_get_quantile_double(name, F.lit(0.5)) for name in LEAST_SPREADS}
+        return df.select(*by, F.struct(F.col("n"), *((high[name] + SPREADS * F.greatest(F.lit(LEAST_SPREADS[name]), high[name] - mid[name])).alias(name) for name in LEAST_SPREADS)).alias(mark))
 
     groups = fence(kept, "own", ["keyloom_lang", "keyloom_source"])
     langs = fence(merged("keyloom_lang"), "lang", [F.col("keyloom_lang").alias("of_lang")])
     everything = fence(merged(), "all", [])
     joined = groups.join(langs, F.col("keyloom_lang").eqNullSafe(F.col("of_lang")), "left").crossJoin(everything)  # one row
     pick = lambda name: F.when(F.col("own.n") >= GROUP, F.col(f"own.{name}")).when(F.col("lang.n") >= GROUP, F.col(f"lang.{name}")).otherwise(F.col(f"all.{name}"))
-    return joined.select(F.col("keyloom_lang").alias("fence_lang"), F.col("keyloom_source").alias("fence_source"), *(pick(name).alias(f"fence_{name}") for name in FLOORS))
+    return joined.select(F.col("keyloom_lang").alias("fence_lang"), F.col("keyloom_source").alias("fence_source"), *(pick(name).alias(f"fence_{name}") for name in LEAST_SPREADS))
 
 
 def _judged(counted: DataFrame, limits: DataFrame) -> DataFrame:

@@ -363,6 +363,22 @@ def test_quality_fences_follow_their_group(spark):
     assert not out[9000] and sum(out.values()) >= 890
 
 
+def test_quality_groups_judge_the_same_text_differently(spark):
+    rng = random.Random(9)
+    long = lambda n: " ".join(rng.choice(VOCABULARY) + rng.choice(["", "x" * 6, "x" * 12]) for _ in range(n))
+    probes = [prose(rng, 100) + " |" * 12, " ".join("abcdefgh" + w for w in prose(rng, 100).split())]
+    rows = [(i, prose(rng, 100), "en", "plain") for i in range(300)]
+    rows += [(1000 + i, long(100) + " |" * (i % 20), "en", "code") for i in range(300)]
+    rows += [(2000 + i, prose(rng, 100), "de", "large") for i in range(300)]
+    # A source below GROUP documents goes by its language's sketch.
+    rows += [(3000 + 10 * k + i, t, *g) for k, g in enumerate([("en", "plain"), ("en", "code"), ("de", "rare")]) for i, t in enumerate(probes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()}
+    assert [kept[3000 + 10 * k + i] for k in range(3) for i in range(2)] == [False, False, True, True, False, False]
+    assert sum(kept[r[0]] for r in rows[:900]) >= 890
+    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == sorted(d for d, k in kept.items() if k)
+
+
 def test_stages_agree_with_plain_versions(spark):
     import corpus_pipeline
 
