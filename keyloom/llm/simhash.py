@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 WIDTH = 5
 BITS = 64
-#: Terms whose votes one packed sum can hold.
-LANE_TERMS = 1 << 15
+#: Terms whose votes one packed sum can hold: 2^15 in the top lane would overflow the signed long.
+LANE_TERMS = (1 << 15) - 1
 _LANES = 16
 _MASK = 0x0001000100010001
 WHITE = r"[\x20\x09-\x0D]+"

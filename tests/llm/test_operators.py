@@ -162,6 +162,21 @@ def test_fingerprint_votes_and_odd_tables(spark):
     assert simhash.document_fingerprints(documents(spark, [(None, "x"), (None, None), (5, "x"), (5, "x")])).count() == 4
 
 
+def test_fingerprints_of_a_text_that_fills_the_lanes(spark):
+    # Every lane that a word's hash votes for is full; some of these hashes have their top bits set.
+    df = spark.createDataFrame([(i, f"{w} " * 70_000) for i, w in enumerate("abcdefgh")] + [(8, "a b " * 35_000)], "id long, text string").repartition(3)
+    out = {r.id: r.bits for r in simhash.fingerprints(df, ["id"]).collect()}
+    tops = 0
+    for r in df.select("id", simhash.term_hashes(df.text).alias("t")).collect():
+        terms = {}
+        for t in r.t:
+            terms[t] = terms.get(t, 0) + 1
+        votes = [sum(n for t, n in terms.items() if t >> b & 1) for b in range(64)]
+        tops += max(votes[48:]) >= 1 << 15
+        assert out[r.id] % 2**64 == sum(1 << b for b in range(64) if 2 * votes[b] > len(r.t))
+    assert tops and len(out) == 9
+
+
 def test_near_fingerprints_by_brute_force(spark):
     rng = random.Random(1)
     marks = [rng.getrandbits(64) for _ in range(60)]
