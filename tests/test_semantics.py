@@ -133,3 +133,44 @@ def test_curve_matching_agrees_with_plain_search():
     plain = [dtw(normal(values[i : i + 9]), normal(curve), band) for i in range(52)]
     at, d = best_match(np.arange(60), values, curve, band)
     assert at == int(np.argmin(plain)) and abs(d - min(plain)) < 1e-9
+
+
+def plain_match(keys, values, curve, band):
+    from keyloom.operators.curve import normal
+
+    n = len(curve)
+    d = [dtw(normal(values[i : i + n]), normal(np.asarray(curve, float)), band) for i in range(len(values) - n + 1)]
+    return (keys[int(np.argmin(d))], min(d)) if d else None
+
+
+def test_curve_matching_in_chunks_agrees_with_plain_search(spark):
+    from keyloom.operators.curve import curve_match
+
+    rng = np.random.default_rng(4)
+    curve = [1.0, 2.0, 3.0, 2.0, 1.0, 0.0, 1.0, 2.0]
+    columns = {"a": list(rng.normal(size=300)), "b": list(rng.normal(size=300)), "c": [1.0] * 300, "d": [1.0, None, *[None] * 291, *range(7)]}
+    columns["a"][95:103] = [10 * v for v in curve]  # lies over the cut at 100
+    columns["b"][40:48] = columns["b"][240:248] = curve
+    columns["b"][3:200:9] = [None] * 22
+    rows = [(-500 + 7 * i, *(None if columns[c][i] is None else float(columns[c][i]) for c in "abcd")) for i in range(300)]
+    df = spark.createDataFrame(rows, f"{KEY} long, a double, b double, c double, d double").repartition(5)
+    want = {}
+    for k, c in enumerate("abcd"):
+        known = [(r[0], r[1 + k]) for r in rows if r[1 + k] is not None]
+        want[c] = plain_match([x for x, _ in known], np.array([v for _, v in known]), curve, 5)
+    assert want["a"][0] == -500 + 7 * 95
+    for chunk in (1, 20, 1000):
+        found = {r.path: (r[KEY], r.distance) for r in curve_match(df, list("abcd"), curve, chunk=chunk).collect()}
+        assert set(found) == set("abcd")
+        for c in "abcd":
+            assert found[c][0] == want[c][0] and abs(found[c][1] - want[c][1]) < 1e-9, (chunk, c)
+    assert curve_match(df.limit(0), ["a"], curve).count() == 0 and curve_match(df.limit(7), ["a"], curve).count() == 0
+
+
+def test_curve_matching_searches_all_events(spark):
+    from keyloom.queries import queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("value IS NOT NULL").orderBy("event_id").toPandas()
+    at, d = plain_match(events.event_id.tolist(), events.value.to_numpy(float), [1.0, 2.0, 3.0, 2.0, 1.0, 0.0, 1.0, 2.0], 5)
+    (found,) = queries()["curve_matching"](spark, "/root/testdata/sf0.001").collect()
+    assert at >= 400 and found[KEY] == at and abs(found.distance - d) < 1e-9
