@@ -206,6 +206,24 @@ def test_packing(spark):
     assert packing.pack(odd, 10).count() == 4
 
 
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    rng = random.Random(6)
+    rows = []
+    for i in range(20):
+        w = prose(rng, 100).split()
+        changed = [*w[:50], "other", *w[51:]]
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(changed)), (10 * i + 2, " ".join(changed).upper())]
+    rows += [(None, rows[0][1]), (5, "a b"), (5, "c d"), (6, None), (7, " \t")]
+    spark.createDataFrame([(d, t, None) for d, t in rows], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = packing.op3_best_fit_packing(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(d) for d, _ in rows)
+    bins = {}
+    for r in out:
+        if r.length == 100:
+            bins.setdefault(r.bin_id, []).append((r.doc_id or 0) // 10)
+    assert all(len(set(b)) == len(b) for b in bins.values()) and sum(map(len, bins.values())) == 61
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(5)
     items = [(rng.randrange(0, 50), rng.choice("abcd"), rng.choice([None, 1, 2, 3])) for _ in range(300)]
