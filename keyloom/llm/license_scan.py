@@ -6,7 +6,8 @@ templates are cut into pieces of at most :data:`PIECE` shingles, so that a piece
 whole in a window (two, mostly).  Bands have one row: a window and a piece with Jaccard
 similarity ``j`` collide in one of ``b`` bands with probability ``1 - (1 - j) ** b``.
 The least ``j`` of a true match is 1 / WINDOW, from a template of one shingle:
-``1 - (7/8) ** 32 = 0.986`` for each of the two windows that hold it, 0.9998 together.
+``1 - (7/8) ** 96 = 0.999997`` for one window.  Mostly two hold it, but they share shingles
+and hashes, so they aren't independent; one in a text's first shingles has one window.
 A longer template collides with more pieces and windows.
 
 Two sets without a common element can't share a MinHash, so windows that hold no
@@ -34,7 +35,7 @@ TEMPLATES = {
 }
 
 WIDTH = 5
-WINDOW, STRIDE, PIECE, BANDS = 8, 4, 4, 32
+WINDOW, STRIDE, PIECE, BANDS = 8, 4, 4, 96
 PUNCTUATION = ".,;:()[]{}\"'`<>/*#!?|"
 
 

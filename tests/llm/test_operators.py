@@ -138,6 +138,12 @@ def test_licenses_against_plain_containment(spark):
     assert license_scan.license_scan(documents(spark, [])).count() == 0 and license_scan.license_scan(documents(spark, rows), {}).count() == 0
 
 
+def test_licenses_that_start_a_text_are_all_found(spark):
+    rng = random.Random(12)
+    rows = [(i, "Released under the MIT License. " + prose(rng, 20)) for i in range(3000)]
+    assert license_scan.license_scan(documents(spark, rows)).where("license = 'MIT'").count() == len(rows)
+
+
 def test_fingerprints(spark):
     rows = [(i, (t or "").replace("퟿", "x")) for i, t in enumerate(texts())]
     out = {r.doc_id: r for r in simhash.document_fingerprints(documents(spark, rows)).collect()}
