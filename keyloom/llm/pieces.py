@@ -22,67 +22,91 @@ WHITE = regex.compile(r"[\s\x1c-\x1f\x85]")
 LONGEST = 48
 
 
-class Remembered(dict):
-    """A function's values; the older half of them is forgotten when there are too many."""
-
-    def __init__(self, make: Callable, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONGEST:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+class Remembered:
+    """Values by word; the older half of them is forgotten when there are too many."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def values(self, words: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The values of distinct words; those of words that aren't remembered are made together."""
+        values = list(map(self.new.get, words))
+        missing = [i for i, v in enumerate(values) if v is None]
+        again = [(i, v) for i in missing if (v := self.old.get(words[i])) is not None]
+        if again:
+            for i, v in again:
+                values[i] = v
+                self._put(words[i], v)
+            missing = [i for i in missing if values[i] is None]
+        for i, v in zip(missing, make([words[i] for i in missing]), strict=True):
+            values[i] = v
+            self._put(words[i], v)
+        return values
+
+    def _put(self, word: str, value: bytes) -> None:
+        if len(word) <= LONGEST:
+            if len(self.new) >= self.most:
+                self.old, self.new = self.new, {}
+            self.new[word] = value
 
 
 def plain(stem: str) -> bool:
     """Whether a word is of letters only, of scripts that all Unicode versions agree on."""
-    return stem.isalpha() and (stem.isascii() or max(stem) < "\u0530")
+    return stem.isalpha() and (stem.isascii() or max(stem) < "\u0500")
 
 
-class PieceEncoder:
-    """Encodes batches of texts; a subclass gives :meth:`_word` and :meth:`_whole`.
+def plain_words(stems: pa.Array) -> np.ndarray:
+    """:func:`plain` for each of an array of large strings."""
+    _, offsets, data = stems.buffers()
+    at = np.frombuffer(offsets, np.int64)[stems.offset : stems.offset + len(stems) + 1]
+    if not len(stems) or data is None:
+        return np.zeros(len(stems), bool)
+    # From U+0500 on, characters start with a byte of 0xD4 or more.
+    far = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint8)[at[0] : at[-1]] >= 0xD4)))
+    return pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False) & (np.diff(far[at - at[0]]) == 0)
+
+
+def last_bytes(strings: pa.Array) -> np.ndarray:
+    """The last byte of each of an array of large strings; a space for an empty one."""
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    out = np.full(len(strings), 32, np.uint8)
+    some = np.flatnonzero(at[1:] > at[:-1])
+    if len(some):
+        out[some] = np.frombuffer(data, np.uint8)[at[1:][some] - 1]
+    return out
 
-    ``space`` and ``line`` are what words write for a leading space and a line break.
-    """
 
-    space, line = " ", "\n"
+_SPACES = np.array([chr(b).isspace() for b in range(128)] + [False] * 128)
+
+
+class PieceEncoder:
+    """Encodes batches of texts; a subclass gives :meth:`_encoded` and :meth:`_whole`."""
 
     def __init__(self, remembered: int):
-        self.words = Remembered(self._word, remembered)
+        self.known = Remembered(remembered)
 
-    def _word(self, word: str) -> bytes:
-        """Little-endian 32-bit ids of one match of the split pattern, as words write it."""
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word, a match of the split pattern."""
         raise NotImplementedError
 
-    def _whole(self, text: str) -> bytes:
-        """Ids of any text, by the split pattern itself."""
+    def _whole(self, text: str) -> list[str]:
+        """The words of any text, by the split pattern itself."""
         raise NotImplementedError
 
-    def _letters(self, text: str) -> str:
-        """Letters and marks as words write them."""
-        return text
-
-    def _part(self, part: str, space: str) -> bytes:
+    def _part(self, part: str, space: str) -> list[str]:
         """A part without white space, after a given space or none: letters and plain marks by rule, all else by the pattern."""
         stem = part.rstrip(STOPS)
         if plain(stem):
-            word = self.words[space + self._letters(stem)]
-            return word + self.words[part[len(stem) :]] if len(stem) < len(part) else word
-        return self._whole((" " if space else "") + part)
+            return [space + stem, part[len(stem) :]] if len(stem) < len(part) else [space + stem]
+        return self._whole(space + part)
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> list[str]:
         """What follows a space, up to the next one."""
         first, line, rest = piece.partition("\n")
         if line and first and rest and not WHITE.search(first) and not WHITE.search(rest):
-            return self._part(first, self.space) + self.words[self.line] + self._part(rest, "")
-        return self._part(piece, self.space)
+            return [*self._part(first, " "), "\n", *self._part(rest, "")]
+        return self._part(piece, " ")
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """The ids of null-free large strings in a row, each text's followed by ``end``, and each text's number of ids.
@@ -93,37 +117,66 @@ class PieceEncoder:
         flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         coded = flat.dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        joins = np.array([not p or p[-1].isspace() for p in names], bool)
-        heads, lasts = at[:-1], at[1:] - 1
+        codes, names = coded.indices.to_numpy(), coded.dictionary
+        heads = at[:-1]
         first = flat.take(pa.array(heads))
+        del lists, flat
+        # A cut is unsafe behind white space.
+        ends = last_bytes(names)
+        joins = _SPACES[ends]
+        for i in np.flatnonzero(ends >= 128).tolist():
+            joins[i] = names[i].as_py()[-1].isspace()
         bad = joins[codes] if len(codes) else np.zeros(0, bool)
-        bad[lasts] = False
+        bad[at[1:] - 1] = False
         bad[heads] &= pc.greater(pc.binary_length(first), 0).to_numpy(zero_copy_only=False)
         sums = np.concatenate(([0], np.cumsum(bad)))
         unsafe = sums[at[1:]] > sums[at[:-1]]
-        entries = [b""] * len(names)
         used = np.ones(len(codes), bool)
         used[heads] = False
         for i in np.flatnonzero(unsafe):
             used[at[i] : at[i + 1]] = False
-        words, space = self.words, self.space
-        for c in np.flatnonzero(np.bincount(codes[used], minlength=len(names))).tolist():
-            piece = names[c]
-            stem = piece.rstrip(STOPS)
-            if stem.isascii() and stem.isalpha():
-                entries[c] = words[space + stem] + words[piece[len(stem) :]] if len(stem) < len(piece) else words[space + stem]
-            else:
-                entries[c] = self._piece(piece)
-        nothing, last = len(entries), len(entries) + 1
-        entries += [b"", end]
-        codes[~used] = nothing
-        for i, head in enumerate(first.to_numpy(zero_copy_only=False).tolist()):
-            codes[heads[i]] = len(entries)
-            entries.append(self._whole(texts[i].as_py()) if unsafe[i] else (self._part(head, "") if head and not WHITE.search(head) else self._whole(head)))
-        sequence = np.insert(codes, at[1:], last)
-        ids, total = gather([len(e) // 4 for e in entries], np.frombuffer(b"".join(entries), np.uint32), sequence)
+        wanted = np.bincount(codes[used], minlength=len(names)) > 0
+        # Most pieces are a word of letters, with marks behind it or without.
+        stems = pc.ascii_rtrim(names, characters=STOPS)
+        tail = (pc.binary_length(names).to_numpy(zero_copy_only=False) - pc.binary_length(stems).to_numpy(zero_copy_only=False)).astype(np.int64)
+        simple = wanted & plain_words(stems)
+        coded = stems.filter(pa.array(simple)).dictionary_encode()
+        words = [" " + w for w in coded.dictionary.to_pylist()]
+        numbers = dict(zip(words, range(len(words)), strict=True))
+        number = numbers.setdefault
+        tail_of = np.array([number(chr(b), len(numbers)) if chr(b) in STOPS else 0 for b in range(256)], np.int64)
+        rows = np.flatnonzero(simple)
+        marks = tail_of[ends[rows]]
+        for i in np.flatnonzero(tail[rows] > 1).tolist():
+            piece = names[rows[i]].as_py()
+            marks[i] = number(piece[len(piece.rstrip(STOPS)) :], len(numbers))
+        sizes = 1 + (tail[rows] > 0)
+        spelt = np.zeros(int(sizes.sum()), np.int64)
+        spelt[np.cumsum(sizes) - sizes] = coded.indices.to_numpy()
+        spelt[(np.cumsum(sizes) - 1)[sizes > 1]] = marks[sizes > 1]
+        # All other pieces, nothing, and the texts' first pieces follow.
+        others = np.flatnonzero(wanted & ~simple)
+        place = np.full(len(names), len(rows) + len(others), np.int64)
+        place[rows], place[others] = np.arange(len(rows)), len(rows) + np.arange(len(others))
+        more, more_sizes = [], []
+        for piece in names.take(pa.array(others)).to_pylist():
+            found = self._piece(piece)
+            more.extend([number(w, len(numbers)) for w in found])
+            more_sizes.append(len(found))
+        more_sizes.append(0)
+        codes = np.where(used, place[codes], len(rows) + len(others)) if len(codes) else codes
+        for i, head in enumerate(first.to_pylist()):
+            codes[heads[i]] = len(rows) + len(more_sizes)
+            found = self._whole(texts[i].as_py()) if unsafe[i] else self._part(head, "") if head and not WHITE.search(head) else self._whole(head)
+            more.extend([number(w, len(numbers)) for w in found])
+            more_sizes.append(len(found))
+        values = self.known.values(list(numbers), self._encoded)
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        pieces, starts = gather(lengths, np.frombuffer(b"".join(values), np.uint32), np.concatenate([spelt, np.array(more, np.int64)]))
+        stops = np.concatenate([[0], np.cumsum(sizes), len(spelt) + np.cumsum(more_sizes)]).astype(np.int64)
+        # The end of a text is a piece more.
+        lengths = np.append(np.diff(starts[stops]), len(end) >> 2)
+        ids, total = gather(lengths, np.concatenate([pieces, np.frombuffer(end, np.uint32)]), np.insert(codes, at[1:], len(lengths) - 1))
         ends = total[at[1:] + np.arange(1, len(texts) + 1)]
         return ids, np.diff(ends, prepend=0)
 

@@ -52,8 +52,6 @@ class PieceTokenizer(PieceEncoder):
     Strings of special tokens in a text are ordinary text.
     """
 
-    space, line = "\u0120", "\u010a"
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -64,15 +62,16 @@ class PieceTokenizer(PieceEncoder):
             raise ValueError("a byte-level tokenizer without normaliser is needed")
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.bytes = {ord(letter): b for b, letter in self.letters.items()}
 
-    def _word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    def _letters(self, text: str) -> str:
-        return text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        # Byte-level vocabularies spell a word's bytes in letters.
+        tokenize, letters, space = self.model.tokenize, self.letters, self.letters[32]
+        spelt = (space + w[1:] if w[0] == " " and w.isascii() and w[1:].isalpha() else w.encode().decode("latin-1").translate(letters) for w in words)
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelt]
 
-    def _whole(self, text: str) -> bytes:
-        return b"".join([self.words[w] for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]) if text else b""
+    def _whole(self, text: str) -> list[str]:
+        return [w.translate(self.bytes).encode("latin-1").decode() for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] if text else []
 
 
 _tokenizers: dict[str, PieceTokenizer] = {}
