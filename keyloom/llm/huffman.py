@@ -100,15 +100,21 @@ class Coder:
         n_bytes = (bits + 7) // 8
         first_byte = np.cumsum(n_bytes) - n_bytes
         at = total[:-1] + np.repeat(first_byte * 8 - total[starts], sizes)
-        value = self.codes[ids].astype(np.uint64) << (np.uint64(32) - length.astype(np.uint64) - (at & 7).astype(np.uint64))
-        out = np.zeros(int(n_bytes.sum()) + 4)
-        for j in range(4):
-            lane = ((value >> np.uint64(24 - 8 * j)) & np.uint64(255)).astype(np.float64)
-            out += np.bincount((at >> 3) + j, lane, len(out)) if len(at) else 0
+        # Codes that start in one 64-bit word are joined there; the last of them may reach into the next.
+        room = 64 - (at & 63) - length
+        codes, over = self.codes[ids].astype(np.uint64), np.flatnonzero(room < 0)
+        value = codes << np.maximum(room, 0).astype(np.uint64)
+        value[over] = codes[over] >> (-room[over]).astype(np.uint64)
+        word = at >> 6
+        out = np.zeros((int(n_bytes.sum()) >> 3) + 2, np.uint64)
+        if len(ids):
+            starts_of = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            out[word[starts_of]] = np.bitwise_or.reduceat(value, starts_of)
+            out[word[over] + 1] |= codes[over] << (64 + room[over]).astype(np.uint64)
         n_marks = -(-sizes // CHECKPOINT)
         marks = _ranges(starts, n_marks, CHECKPOINT)
         offsets = at[marks] - np.repeat(first_byte * 8, n_marks)
-        return out[: len(out) - 4].astype(np.uint8), n_bytes, offsets, n_marks
+        return out.astype(">u8").view(np.uint8)[: int(n_bytes.sum())], n_bytes, offsets, n_marks
 
     def decode(self, data: np.ndarray, n_bytes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The ids of documents that :meth:`encode` wrote."""
