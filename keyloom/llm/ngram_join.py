@@ -5,9 +5,10 @@
 2. Every class emits its PartEnum signatures (:mod:`.partenum`).  They are shuffled as
    packed arrays, sorted by signature where they meet, and never expanded into rows.
 3. A signature shared by up to :data:`PAIRED` classes gives their pairs.  One shared by
-   more gives a star, and stars that overlap form clusters; a cluster is cut into blocks
-   of :data:`BLOCK` classes and each two blocks are compared in one task, so memory and
-   rows stay bounded and still no pair is left out.
+   more gives a star, and stars that overlap form clusters.  A star's edges are compared
+   as pairs first.  Only classes of a cluster that have no link yet are compared further,
+   in blocks of about :data:`BLOCK` classes, two blocks in one task: memory and rows stay
+   bounded, many copies of one text cost one comparison each, and no pair is left out.
 4. Pairs that parity sketches prove too different are left out: a cell of a sketch is odd
    where the sets' features there differ in number by an odd count, so two sketches differ
    in no more cells than the sets differ in features.  That bound never drops a link.
@@ -21,45 +22,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .partenum import Bands, signatures
-from .words import chunks, filled, mix, shingle_sets
+from .partenum import Bands, set_signatures
+from .words import chunks, filled, mix, set_chunks, set_sums, shingle_sets
 from .workspace import Workspace, partitions
 
 #: A signature of so many classes at most gives all their pairs.
 PAIRED = 16
 #: Classes in a block; two blocks are compared at a time.
 BLOCK = 128
-#: Frequent shingles only steer which signatures are chosen, never which pairs are found.
-#: They are counted in about so many documents, and so many are kept at most.
-FREQUENT_SAMPLE, FREQUENT_KEPT, FREQUENT_SHARE = 20_000, 1 << 16, 0.001
-#: Candidates' ids are broadcast up to this number (8 bytes each) and joined by a shuffle beyond it.
+#: Frequent shingles only steer which signatures are chosen, never which pairs are found.  They are in this share of the
+#: documents, so there are at most 1 / share times a document's mean number of shingles, however many documents there are.
+FREQUENT_SHARE = 0.001
+#: Ids and labels are broadcast up to this number (8 to 32 bytes each) and joined by a shuffle beyond it.
 BROADCAST_IDS = 1 << 21
+#: Documents for each task that signatures meet in, so that its memory doesn't grow with the input.
+MET_DOCUMENTS = 50_000
 
-_EMITTED = "r int, doc_id long, key binary, n long, sketch binary, sigs binary, at binary, keys binary"
-_MET = "kind string, a binary, b binary, doc_id long, n long"
+_EMITTED = "r int, doc_id long, key binary, n long, sketch binary, n_words long, carried string, sigs binary, at binary, keys binary"
+_MET = "kind string, a binary, b binary, doc_id long, n long, n_words long, carried string"
 
 
-def class_key(features: np.ndarray) -> bytes:
-    """A 128-bit digest of a set of distinct hashes: two independent sums, finished."""
+def class_keys(features: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128-bit digests (V16) of sets of distinct hashes side by side: two sums of products of their halves, finished."""
     with np.errstate(over="ignore"):
-        one = np.add.reduce(mix(features ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64) if len(features) else np.uint64(0)
-        two = np.add.reduce(mix(features ^ np.uint64(0x14057B7EF767814F)), dtype=np.uint64) if len(features) else np.uint64(0)
-        n = np.uint64(len(features))
-        return mix(np.array([one + n, two + (one ^ (n << np.uint64(32)))], np.uint64)).tobytes()
+        high = features >> np.uint64(32)
+        one = set_sums((features ^ np.uint64(0x5851F42D4C957F2D)) * high, at)
+        two = set_sums((features | np.uint64(1)) * (high ^ features), at)
+        n = np.diff(at).astype(np.uint64)
+        return mix(np.stack([one + n, two + (one ^ (n << np.uint64(32)))], axis=1)).view("V16").reshape(-1)
 
 
-def parity_sketch(features: np.ndarray) -> bytes:
-    """One bit for each of 2^k cells, at least two for a feature: whether the set has an odd number of features there.
+def parity_sketches(features: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set one bit for each of 2^k cells, at least two for a feature: whether the set has an odd number of features there.
 
     Halves of a sketch, combined by XOR, are the sketch of half as many cells.
     """
-    cells = 1 << max(3, (2 * len(features) - 1).bit_length()) if len(features) else 8
-    counts = np.bincount((mix(features ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+    n = np.diff(at)
+    cells = np.array([1 << max(3, (2 * x - 1).bit_length()) if x else 8 for x in n.tolist()], np.int64)
+    stop = np.concatenate(([0], np.cumsum(cells)))
+    cell = (features & np.repeat(cells - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(stop[:-1], n)
+    raw = np.packbits((np.bincount(cell, minlength=stop[-1]) & 1).astype(np.uint8)).tobytes()
+    ends = (stop >> 3).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def parity_sketch(features: np.ndarray) -> bytes:
+    return parity_sketches(features, np.array([0, len(features)]))[0]
 
 
 def may_link(a: bytes, n_a: int, b: bytes, n_b: int, percent: int) -> bool:
@@ -85,46 +97,68 @@ def _screen(percent: int):
     return run
 
 
-def _frequent(texts: DataFrame, width: int) -> np.ndarray:
-    """Hashes of shingles that a good share of documents have, from a bounded sample of them."""
-    total = texts.count()
-    step = max(1, total // FREQUENT_SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0) if step > 1 else texts
+def _frequent(texts: DataFrame, width: int, total: int) -> np.ndarray:
+    """Hashes of shingles that a good share of all documents have.
+
+    A shingle with that share of all documents has it in some batch, which reports it; so
+    counting what batches report finds every such shingle, and rare ones are never sent.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Each set once: copies say nothing about passages that different texts share.
-            sets = {class_key(s): s for s in shingle_sets(filled(batch.column(0)), width)}
+            sets = {}
+            for features, at, _ in set_chunks(filled(batch.column(0)), width):
+                for i, key in enumerate(class_keys(features, at).tolist()):
+                    sets[key] = features[at[i] : at[i + 1]]
             if sets:
                 h, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                h, n = h[n > 1], n[n > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+                often = n >= max(2, int(len(sets) * FREQUENT_SHARE))
+                yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
 
-    least = max(20, int(min(total, FREQUENT_SAMPLE) * FREQUENT_SHARE))
-    rows = sample.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(FREQUENT_KEPT).collect()
-    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+    least = max(20, int(total * FREQUENT_SHARE))
+    rows = texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").toArrow()
+    return np.sort(rows.column("h").to_numpy().view(np.uint64))
 
 
 def _emit(width: int, percent: int, reducers: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            texts, ids = filled(batch.column(1)), batch.column(0)
+            texts = filled(batch.column(1))
             for lo, hi in _slices(texts):
-                keys, sizes, sketches, seen, sigs = [], [], [], {}, []
-                for features in shingle_sets(texts.slice(lo, hi - lo), width):
-                    key = class_key(features)
-                    keys.append(key)
-                    sizes.append(len(features))
-                    sketches.append(parity_sketch(features))
-                    if len(features) and key not in seen:
-                        seen[key] = len(seen)
-                        sigs.append(signatures(features, bands, frequent))
-                yield from _packed(ids.slice(lo, hi - lo), keys, sizes, sketches, list(seen), sigs, reducers)
+                keys, sizes, n_words, sketches, seen, sigs, owners = [], [], [], [], {}, [], []
+                for features, at, words in set_chunks(texts.slice(lo, hi - lo), width):
+                    n_words.append(words)
+                    found, n = class_keys(features, at).tolist(), np.diff(at)
+                    keys += found
+                    sizes.append(n)
+                    sketches += parity_sketches(features, at)
+                    # Signatures once for each class.
+                    new = []
+                    for i, key in enumerate(found):
+                        if n[i] and key not in seen:
+                            seen[key] = len(seen)
+                            new.append(i)
+                    sig, owner = set_signatures(*_chosen(features, at, new), bands, frequent)
+                    sigs.append(sig)
+                    owners.append(owner + (len(seen) - len(new)))
+                rows = batch.slice(lo, hi - lo)
+                facts = {"doc_id": rows.column(0), "key": pa.array(keys, pa.binary()), "n": pa.array(np.concatenate(sizes)), "sketch": pa.array(sketches, pa.binary()), "n_words": pa.array(np.concatenate(n_words)), "carried": rows.column(2)}
+                yield from _packed(facts, list(seen), np.concatenate(sigs), np.concatenate(owners).astype(np.uint32), reducers)
 
     return run
 
 
+def _chosen(features: np.ndarray, at: np.ndarray, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the sets, side by side again."""
+    if len(rows) == len(at) - 1:
+        return features, at
+    rows = np.array(rows, np.int64)
+    stop = np.concatenate(([0], np.cumsum(at[rows + 1] - at[rows])))
+    return features[np.repeat(at[rows] - stop[:-1], np.diff(stop)) + np.arange(stop[-1])], stop
+
+
 def _slices(texts: pa.Array, group: int = 12) -> Iterator[tuple[int, int]]:
     """Ranges of a few chunks each, as what one range shares is packed together."""
     ranges = list(chunks(texts))
@@ -132,30 +166,33 @@ def _slices(texts: pa.Array, group: int = 12) -> Iterator[tuple[int, int]]:
         yield ranges[i][0], ranges[min(i + group, len(ranges)) - 1][1]
 
 
-def _packed(ids: pa.Array, keys: list[bytes], sizes: list[int], sketches: list[bytes], classes: list[bytes], sigs: list[np.ndarray], reducers: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and one for each reducer with its share of the signatures: 32 bits of each, where its class stands in the row's list, that list."""
-    own = np.array([int.from_bytes(k[:8], "little") % reducers for k in keys], np.int32)
-    n = len(keys)
-    none = pa.nulls(n, pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(own), ids.cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none, none, none], names=_names(_EMITTED))
-    if not sigs:
+def _packed(facts: dict[str, pa.Array], classes: list[bytes], all_sigs: np.ndarray, owner: np.ndarray, reducers: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and one for each reducer with its share of the signatures: 32 bits of each, where its class stands in the row's list, that list.
+
+    Documents are dealt round robin, so many copies of one text are no large task.
+    """
+    names, n = _names(_EMITTED), len(facts["doc_id"])
+    facts = {"r": pa.array(np.arange(n) % reducers, pa.int32())} | facts
+    yield pa.RecordBatch.from_arrays([facts[c] if c in facts else pa.nulls(n, pa.binary()) for c in names], names=names)
+    if not len(all_sigs):
         return
-    all_sigs = np.concatenate(sigs)
-    owner = np.repeat(np.arange(len(sigs), dtype=np.uint32), [len(s) for s in sigs])
-    to = ((all_sigs >> np.uint64(32)) % np.uint64(reducers)).astype(np.int64)
-    order = np.lexsort((all_sigs, to))
-    all_sigs, owner, to = all_sigs[order], owner[order], to[order]
+    # The upper half of a signature chooses the reducer, the lower one tells it apart there.
+    to = ((all_sigs >> np.uint64(32)) * np.uint64(reducers)) & ~np.uint64(0xFFFFFFFF)
+    all_sigs = to | (all_sigs & np.uint64(0xFFFFFFFF))
+    order = np.argsort(all_sigs)
+    all_sigs, owner, to = all_sigs[order], owner[order], to[order] >> np.uint64(32)
     ends = np.searchsorted(to, np.arange(reducers + 1))
-    names = np.frombuffer(b"".join(classes), "V16")
+    own_names = np.frombuffer(b"".join(classes), "V16")
     rows = []
     for r in range(reducers):
         a, b = ends[r], ends[r + 1]
         if a < b:
             used, at = np.unique(owner[a:b], return_inverse=True)
             kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
-            rows.append((r, all_sigs[a:b].astype(np.uint32).tobytes(), at.astype(kind).tobytes(), names[used].tobytes()))
-    m = len(rows)
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), *(pa.array([x[i] for x in rows], pa.binary()) for i in (1, 2, 3))], names=_names(_EMITTED))
+            rows.append((r, all_sigs[a:b].astype(np.uint32).tobytes(), at.astype(kind).tobytes(), own_names[used].tobytes()))
+    columns = dict(zip(("r", "sigs", "at", "keys"), zip(*rows, strict=True), strict=True))
+    kinds = {"r": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "n_words": pa.int64(), "carried": pa.string()}
+    yield pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * len(rows)), kinds.get(c, pa.binary())) for c in names], names=names)
 
 
 def _names(schema: str) -> list[str]:
@@ -169,7 +206,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = batch.column("sigs").is_valid()
         docs = batch.filter(packed.__class__.from_pandas(~packed.to_numpy(zero_copy_only=False)))
         if docs.num_rows:
-            yield _met(["doc"] * docs.num_rows, docs.column("key"), docs.column("sketch"), docs.column("doc_id"), docs.column("n"))
+            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * docs.num_rows), *(docs.column(c) for c in ("key", "sketch", "doc_id", "n", "n_words", "carried"))], names=_names(_MET))
         rows = batch.filter(packed)
         for s, at, names in zip(*(rows.column(c).to_pylist() for c in ("sigs", "at", "keys")), strict=True):
             s, names = np.frombuffer(s, np.uint32), np.frombuffer(names, "V16")
@@ -187,10 +224,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rank[order] = np.cumsum(new) - 1
     names = names[order][new]
     sig, owner = np.concatenate(sigs), rank[np.concatenate(owners)]
-    order = np.lexsort((owner, sig))
-    sig, owner = sig[order], owner[order]
-    keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])))
-    sig, owner = sig[keep], owner[keep]
+    both = np.sort((sig.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64))
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+    sig, owner = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
     start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     length = np.diff(np.append(start, len(sig)))
     pairs, stars = [], []
@@ -205,20 +241,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         for lo in range(0, len(found), 50_000):
             part = found[lo : lo + 50_000]
-            a, b = (pa.array([x.tobytes() for x in names[side]], pa.binary()) for side in (part // len(names), part % len(names)))
-            yield _met([kind] * len(part), a, b, None, None)
-
-
-def _met(kind, a, b, doc_id, n) -> pa.RecordBatch:
-    m = len(kind)
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), a, pa.nulls(m, pa.binary()) if b is None else b, pa.nulls(m, pa.int64()) if doc_id is None else doc_id, pa.nulls(m, pa.int64()) if n is None else n], names=_names(_MET))
+            a, b = (pa.array(names[side].tolist(), pa.binary()) for side in (part // len(names), part % len(names)))
+            none = pa.nulls(len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.string()), a, b, none, none, none, pa.nulls(len(part), pa.string())], names=_names(_MET))
 
 
 def _keyed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(batch.column(0))
-            keys = [class_key(s) for s in shingle_sets(texts, width)]
+            keys = [key for features, at, _ in set_chunks(texts, width) for key in class_keys(features, at).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), texts.cast(pa.string())], ["key", "text"])
 
     return run
@@ -304,16 +336,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     doc_id keep their own sets.  A null doc_id takes part in links but never names a
     component; alone, its component_id is null.  No input rows, no output rows.
     """
+    return linked_rows(docs, F.lit(None), width, percent).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def linked_rows(docs: DataFrame, carry: Column, width: int = 5, percent: int = 75) -> DataFrame:
+    """A row for each of ``docs``: doc_id, n (size of its set), n_words, carried (the value of ``carry`` as a string), and of its component a label (binary) and the least doc_id; both null without words."""
     spark = docs.sparkSession
     work = Workspace(spark, "ngram_join")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    reducers = partitions(spark)
-    frequent = _frequent(texts, width)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carry.cast("string").alias("carried"))
+    total = texts.count()
+    reducers = max(partitions(spark), total // MET_DOCUMENTS)
+    frequent = _frequent(texts, width, total)
     met = work.write(texts.mapInArrow(_emit(width, percent, reducers, frequent), _EMITTED).repartitionById(reducers, "r").mapInArrow(_meet, _MET), "met")
-    rows = met.where("kind = 'doc'").select("doc_id", F.col("a").alias("key"), "n")
+    rows = met.where("kind = 'doc'").select("doc_id", F.col("a").alias("key"), "n", "n_words", "carried")
     classes = work.write(met.where("kind = 'doc' AND n > 0").groupBy(F.col("a").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("b").alias("sketch")), "classes")
     facts = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    pairs = met.where("kind = 'pair'").select("a", "b").distinct().join(facts("a"), "a").join(facts("b"), "b")
+    # A star's edges are compared as pairs first; what they link need not be compared again.
+    pairs = met.where("kind IN ('pair', 'large')").select("a", "b").distinct().join(facts("a"), "a").join(facts("b"), "b")
     pairs = work.write(pairs.mapInArrow(_screen(percent), "a binary, b binary"), "pairs")
     stars = met.where("kind = 'large'").select("a", "b")
     clusters = work.write(components(stars, work, "clusters").toDF("key", "cluster"), "clusters")
@@ -327,26 +366,40 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
 
     side = lambda x: bodies.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
     links = work.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_check_pairs(width, percent), "a binary, b binary"), "pair_links")
-    blocks = _blocks(clusters, work)
-    checked = blocks.join(bodies, "key").groupBy("cluster", "i", "j").applyInArrow(_check_blocks(width, percent), "a binary, b binary")
-    links = links.union(work.write(checked, "block_links"))
-
     labels = components(links, work, "links")
-    named_by = rows.join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    # The empty set is one class of rows that aren't linked; everything else is named by its component's least id.
-    least = named_by.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return named_by.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _blocks(clusters: DataFrame, work: Workspace) -> DataFrame:
-    """(key, cluster, i, j, side): each class in every pair of blocks that its own block is part of.
-
-    Blocks are numbered by a hash within a cluster, so a large cluster is dealt out without a sort in one task.
+    blocks = _blocks(clusters, labels, work)
+    if not blocks.isEmpty():
+        checked = blocks.join(bodies, "key").groupBy("cluster", "i", "j").applyInArrow(_check_blocks(width, percent), "a binary, b binary")
+        labels = components(links.union(work.write(checked, "block_links")), work, "all_links")
+
+    # Classes that have links are named by their component's least id, all others by their own.
+    labelled = work.write(classes.select("key", "doc_id").join(labels.toDF("key", "c"), "key"), "labelled")
+    least = work.write(labelled.groupBy("c").agg(F.min("doc_id").alias("least")), "least")
+    named_by = work.write(labelled.select("key", "c").join(least, "c"), "named")
+    single = work.write(classes.join(named_by, "key", "left").select("key", F.coalesce("c", "key").alias("label"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least")), "components")
+    out = rows.join(single, "key", "left").select("doc_id", "n", "n_words", "carried", "label", "least")
+    work.drop_others("met", "components")
+    return out
+
+
+def _blocks(clusters: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    """(key, cluster, i, j, side): the classes of a cluster in every two blocks whose classes aren't known to be linked.
+
+    Classes of one component (label) are known to be linked.  A component of many classes
+    has blocks of its own, which need no comparing among themselves; the others share
+    blocks.  Blocks are numbered by a hash, so a large cluster is dealt out without a sort in one task.
     """
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "cluster")
-    placed = sized.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("key", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    own = work.write(clusters.join(labels.toDF("key", "c"), "key", "left").select("key", "cluster", F.coalesce("c", "key").alias("own")), "own")
+    groups = work.write(own.groupBy("cluster", "own").agg(F.count("*").alias("size")), "groups")
+    large = F.col("size") * 2 >= BLOCK
+    open_ = work.write(groups.groupBy("cluster").agg(F.count("*").alias("groups"), F.sum(F.when(~large, F.col("size"))).alias("rest")).where("groups > 1"), "open")
+    block = F.when(large, F.concat(F.lit("g"), F.hex("own"), F.lit("-"), F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)))).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("own"), F.ceil(F.col("rest") / BLOCK))))
+    sized = work.write(groups.join(open_, "cluster"), "sized")
+    placed = work.write(own.join(sized, ["cluster", "own"]).select("key", "cluster", block.alias("block"), F.when(large, F.col("own")).alias("group")), "placed")
+    others = placed.select("cluster", F.col("block").alias("other"), F.col("group").alias("other_group")).distinct()
+    # A join on the cluster: a block meets the others, so rows grow with blocks, of which linked ones make none.
+    met = placed.join(others, "cluster").where(F.col("group").isNull() | F.col("other_group").isNull() | (F.col("group") != F.col("other_group")))
+    return met.select("key", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
 
 
 def keep_one_per_component(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:

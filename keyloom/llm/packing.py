@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngram_join import BROADCAST_IDS, jaccard_components
+from .ngram_join import linked_rows
 from .workspace import Workspace
 
 CAPACITY = 2048
@@ -152,23 +152,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, run: int = RUN) -> DataFram
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, near: bool = False) -> DataFrame:
     """:func:`pack` for documents (doc_id, text, source): lengths in words; documents with the same words but for case and white space are a cluster.
 
-    With ``near``, so are those that near copies link, the components of
+    With ``near``, clusters are those of documents that near copies link, the components of
     :func:`jaccard_components`; without it, only where near copies are gone already.
     """
+    if near:
+        # Near copies are found in a pass over the texts that counts their words too.
+        found = linked_rows(docs, F.col("source"))
+        items = found.select("doc_id", F.col("n_words").alias("length"), F.col("carried").alias("source"), F.hex("label").alias("cluster"))
+        return pack(Workspace(docs.sparkSession, "packing").write(items, "items"), capacity)
     text = F.col("text").cast("string")
     items = docs.select("doc_id", word_count(text).alias("length"), F.col("source"), F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) > 0, same_words(text)).alias("cluster"))
-    return pack(_with_components(items, docs) if near else items, capacity)
-
-
-def _with_components(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """The items with the least cluster of each component as its documents' cluster."""
-    work = Workspace(docs.sparkSession, "packing")
-    text = F.col("text").cast("string")
-    # Texts stand for their rows, as ids may be null or repeat.
-    linked = jaccard_components(docs.select(same_words(text).alias("doc_id"), F.lower(text).alias("text")))
-    moved = work.write(linked.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("own"), F.col("component_id").alias("least")).distinct(), "moved")
-    moved = F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved
-    return items.join(moved, F.col("cluster") == F.col("own"), "left").select("doc_id", "length", "source", F.coalesce("least", "cluster").alias("cluster"))
+    return pack(items, capacity)
 
 
 def assemble(packed: DataFrame, docs: DataFrame) -> DataFrame:

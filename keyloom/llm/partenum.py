@@ -22,6 +22,7 @@ takes part in a fallback with one feature as a partition (n1 = the whole domain)
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -55,53 +56,92 @@ class Bands:
         return self.upper[band] * (100 - self.percent) // self.percent
 
 
+@cache
 def _mixed(seed: int) -> np.uint64:
     return mix(np.array([seed], np.uint64))[0]
 
 
 def signatures(features: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
     """The 64-bit signatures of one set of distinct, sorted 64-bit features; ``frequent`` is sorted."""
-    n = len(features)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    own = bands.of(n)
-    rare = np.ones(n, bool)
-    if len(frequent):
-        at = np.searchsorted(frequent, features)
-        at[at == len(frequent)] = 0
-        rare = frequent[at] != features
-    out = []
+    return set_signatures(features, np.array([0, len(features)]), bands, frequent)[0]
+
+
+def set_signatures(features: np.ndarray, at: np.ndarray, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of sets side by side, set i at ``at[i]`` to ``at[i + 1]``, and the set that each is of."""
+    size = np.diff(at)
+    own = np.array([bands.of(int(n)) for n in size], np.int64)
+    rare = np.ones(len(features), bool)
+    if len(frequent) and len(features):
+        found = np.searchsorted(frequent, features)
+        found[found == len(frequent)] = 0
+        rare = frequent[found] != features
+    sigs, owners = [], []
+
+    def put(sig: np.ndarray, owner: np.ndarray | int) -> None:
+        sigs.append(sig)
+        owners.append(np.full(len(sig), owner, np.int64) if isinstance(owner, int) else owner)
+
     with np.errstate(over="ignore"):
         for band in (own, own - 1):
-            if band < 1:
+            k = np.array([bands.differences(int(x)) if x >= 1 else 0 for x in band], np.int64)
+            large = np.flatnonzero((band >= 1) & (k > ENUMERATED) & (size > 0))
+            for i in np.flatnonzero((band >= 1) & (k <= ENUMERATED) & (size > 0)).tolist():
+                own_features = features[at[i] : at[i + 1]]
+                sig, enough = _enumerated(own_features, int(k[i]), _mixed(int(band[i]) * 4 + 1))
+                put(sig, i)
+                if not enough:
+                    put(_alone(own_features, rare[at[i] : at[i + 1]], int(band[i]), int(k[i])), i)
+            if not len(large):
                 continue
-            k = bands.differences(band)
-            seed = _mixed(band * 4 + 1)
-            spread = mix(features ^ seed)
-            if k <= ENUMERATED:
-                parts = k + 2
-                part = spread % U64(parts)
-                content = np.zeros(parts, np.uint64)
-                np.add.at(content, part, mix(spread))
-                used = np.bincount(part.astype(np.int64), minlength=parts) > 0
-                enough = used.sum() >= parts - 1
-                out.append(np.array([mix(np.array([seed + U64(a * 64 + b) + content[a] * U64(3) + content[b] * U64(5)]))[0] for a, b in combinations(range(parts), 2) if used[a] or used[b]], np.uint64))
-            else:
-                n1 = int(bands.upper[band] / PER_PART) + 1
-                part = (spread >> U64(1)) % U64(n1)
-                order = np.argsort(part, kind="stable")
-                part, cold = part[order], rare[order]
-                start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                content = mix(np.add.reduceat(mix(spread[order]), start) + part[start] * U64(0x9E3779B97F4A7C15) + seed)
-                enough = len(start) > k
-                if enough:
-                    cold = np.minimum(np.add.reduceat(cold.astype(np.uint64), start), U64(3))
-                    weight = (cold << U64(61)) | (content >> U64(3))
-                    content = content[weight >= np.partition(weight, len(weight) - k - 1)[len(weight) - k - 1]]
-                out.append(content)
-            if not enough:
-                alone = mix(features ^ _mixed(band * 4 + 2))
-                weight = (rare.astype(np.uint64) << U64(63)) | (alone >> U64(1))
-                k = min(k, n - 1)
-                out.append(alone[weight >= np.partition(weight, n - k - 1)[n - k - 1]])
-    return np.concatenate(out)
+            n = size[large]
+            ends = np.cumsum(n)
+            starts = ends - n
+            seed = np.array([_mixed(int(x) * 4 + 1) for x in band[large]], np.uint64)
+            n1 = np.array([int(bands.upper[x] / PER_PART) + 1 for x in band[large]], np.uint64)
+            chosen = np.repeat(at[large] - starts, n) + np.arange(ends[-1])
+            # Partitions are ranges of the hash, so that sorting it groups them; its lowest bit tells which features are rare.
+            spread = (mix(features[chosen] ^ np.repeat(seed, n)) & ~U64(1)) | rare[chosen]
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                spread[a:b].sort()
+            part = ((spread >> U64(32)) * np.repeat(n1, n)) >> U64(32)
+            first = np.concatenate(([True], part[1:] != part[:-1]))
+            first[starts] = True
+            start = np.flatnonzero(first)
+            set_of = np.repeat(np.arange(len(large)), n)[start]
+            # A product of a hash's halves is no linear function of it, so neither are the sums.
+            content = mix(np.add.reduceat((spread | U64(1)) * (spread >> U64(32)), start) + part[start] * U64(0x9E3779B97F4A7C15) + seed[set_of])
+            cold = np.minimum(np.add.reduceat(spread & U64(1), start), U64(3))
+            weight = (cold << U64(61)) | (content >> U64(3))
+            upto = np.searchsorted(set_of, np.arange(len(large) + 1))
+            bar = np.zeros(len(large), np.uint64)
+            for j, (a, b, least) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), k[large].tolist(), strict=True)):
+                if b - a > least:
+                    bar[j] = np.partition(weight[a:b], b - a - least - 1)[b - a - least - 1]
+                else:
+                    i = int(large[j])
+                    put(_alone(features[at[i] : at[i + 1]], rare[at[i] : at[i + 1]], int(band[i]), least), i)
+            keep = weight >= bar[set_of]
+            put(content[keep], large[set_of[keep]])
+    if not sigs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(sigs), np.concatenate(owners)
+
+
+def _enumerated(features: np.ndarray, k: int, seed: np.uint64) -> tuple[np.ndarray, bool]:
+    """Subsets of two of k + 2 partitions, and whether they suffice."""
+    parts = k + 2
+    spread = mix(features ^ seed)
+    part = spread % U64(parts)
+    content = np.zeros(parts, np.uint64)
+    np.add.at(content, part, mix(spread))
+    used = np.bincount(part.astype(np.int64), minlength=parts) > 0
+    sig = np.array([seed + U64(a * 64 + b) + content[a] * U64(3) + content[b] * U64(5) for a, b in combinations(range(parts), 2) if used[a] or used[b]], np.uint64)
+    return mix(sig), bool(used.sum() >= parts - 1)
+
+
+def _alone(features: np.ndarray, rare: np.ndarray, band: int, k: int) -> np.ndarray:
+    """The fallback: each feature is a partition of its own."""
+    alone = mix(features ^ _mixed(band * 4 + 2))
+    weight = (rare.astype(np.uint64) << U64(63)) | (alone >> U64(1))
+    k = min(k, len(features) - 1)
+    return alone[weight >= np.partition(weight, len(features) - k - 1)[len(features) - k - 1]]

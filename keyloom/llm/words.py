@@ -28,11 +28,13 @@ _powers: dict[int, np.ndarray] = {}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection on 64-bit values."""
-    x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    y = x >> U64(30)
+    y ^= x
+    y *= U64(0xBF58476D1CE4E5B9)
+    y ^= y >> U64(27)
+    y *= U64(0x94D049BB133111EB)
+    y ^= y >> U64(31)
+    return y
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
@@ -118,11 +120,47 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
         return mix(h)
 
 
-def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
-    """For each text, A-Z lower-cased, the sorted distinct hashes of its shingles."""
+def set_chunks(texts: pa.Array, width: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts' shingle sets, A-Z lower-cased, chunk by chunk: sorted distinct hashes side by side, where each set starts and ends, and each text's number of words."""
     for a, b in chunks(texts):
         flat, at = split_words(pc.ascii_lower(texts.slice(a, b - a)))
-        h = hash_strings(flat)
-        for i in range(b - a):
-            s = np.sort(shingles(h[at[i] : at[i + 1]], width))
-            yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
+        h, n = hash_strings(flat), np.diff(at)
+        size = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+        stop = np.concatenate(([0], np.cumsum(size)))
+        out = np.zeros(stop[-1], np.uint64)
+        long = np.flatnonzero(n >= width)
+        if len(long):
+            runs = shingles(h, width)  # over all texts in a row, those that cross an end too
+            inside = np.ones(len(runs), bool)
+            for j in range(1, width):
+                ends = at[1:-1] - j
+                inside[ends[(ends >= 0) & (ends < len(runs))]] = False
+            place = np.ones(len(out), bool)
+            place[stop[:-1][(n < width) & (n > 0)]] = False
+            out[place] = runs[inside]
+        for i in np.flatnonzero((n < width) & (n > 0)):
+            out[stop[i]] = shingles(h[at[i] : at[i + 1]], width)[0]
+        for i in long:
+            out[stop[i] : stop[i + 1]].sort()
+        if len(out):
+            new = np.concatenate(([True], out[1:] != out[:-1]))
+            new[stop[:-1][size > 0]] = True
+            before = np.concatenate(([0], np.cumsum(new)))
+            out, stop = out[new], before[stop]
+        yield out, stop, n
+
+
+def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
+    """For each text, A-Z lower-cased, the sorted distinct hashes of its shingles."""
+    for features, at, _ in set_chunks(texts, width):
+        for i in range(len(at) - 1):
+            yield features[at[i] : at[i + 1]]
+
+
+def set_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of each set's values, 0 for an empty one."""
+    out = np.zeros(len(at) - 1, values.dtype)
+    some = np.flatnonzero(at[1:] > at[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, at[:-1][some])
+    return out

@@ -19,19 +19,27 @@ class Workspace:
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """The rows, written once as Parquet and read again with the schema they had."""
         path = f"{self.path}/{name}"
+        self.tables.append(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write_zstd(self, df: DataFrame, name: str) -> DataFrame:
         """As :meth:`write`, for large binary columns."""
         path = f"{self.path}/{name}"
+        self.tables.append(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_others(self, *kept: str) -> None:
+        """Deletes all tables but those named."""
+        self.drop(*(n for n in self.tables if n not in kept))
+        self.tables = list(kept)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing will read again."""
         jvm = self.spark._jvm
