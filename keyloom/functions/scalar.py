@@ -49,12 +49,18 @@ def truth(condition: Column) -> Column:
 
 
 def compare(a: Column, op: str, b: Column) -> Column:
+    """Two-valued; for conditions of filters and joins, where null fails anyway, :data:`COMPARE` leaves the optimizer its keys and pushed filters."""
     return truth(COMPARE[op](a, b))
 
 
+def matches_like(text: Column, pattern: str) -> Column:
+    """Full match of a regular expression; null for a null text."""
+    return text.rlike(r"\A(?:" + pattern + r")\z")
+
+
 def like(text: Column, pattern: str) -> Column:
-    """Full match of a regular expression."""
-    return truth(text.rlike(r"\A(?:" + pattern + r")\z"))
+    """Full match of a regular expression; false for a null text."""
+    return truth(matches_like(text, pattern))
 
 
 def substring(text: Column, start: int, length: int) -> Column:

@@ -18,7 +18,7 @@ def demoted(df: DataFrame, prefix: str) -> DataFrame:
 
 def join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", prefixes: tuple[str, str] = ("left", "right")) -> DataFrame:
     """INNER, LEFT, RIGHT or FULL join on any condition."""
-    return demoted(left, prefixes[0]).join(demoted(right, prefixes[1]), truth(on) if how == "inner" else on, how)
+    return demoted(left, prefixes[0]).join(demoted(right, prefixes[1]), on, how)
 
 
 def cross_join(left: DataFrame, right: DataFrame, prefixes: tuple[str, str] = ("left", "right")) -> DataFrame:

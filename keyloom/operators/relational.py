@@ -20,7 +20,7 @@ def project(df: DataFrame, patterns: list[str], tag_filter=None, keep_key: bool
 
 def select(df: DataFrame, condition: Column) -> DataFrame:
     """Rows for which the condition is true; null counts as false."""
-    return df.where(truth(condition))
+    return df.where(condition)
 
 
 def wildcard_compare(df: DataFrame, pattern: str, op: str, value, all_of: bool = False) -> Column:
@@ -147,7 +147,7 @@ def show_columns(df: DataFrame, patterns: list[str] | None = None, tag_filter=No
 def group_by(df: DataFrame, keys: list[Column], aggregates: list[Column], having: Column | None = None) -> DataFrame:
     """Groups by expressions, null being a group; the output has no key."""
     out = df.groupBy(*keys).agg(*aggregates)
-    return out.where(truth(having)) if having is not None else out
+    return out.where(having) if having is not None else out
 
 
 def union_paths(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -73,6 +73,10 @@ class Compiler:
     def __init__(self, session):
         self.session = session
         self.ctes: dict[str, DataFrame] = {}
+        #: The key that the last row function gave its rows.
+        self.row_key: Column | None = None
+        #: Where the aggregates of a query without groups leave the keys that they give; None elsewhere.
+        self.set_key: list[Column] | None = None
 
     # Queries.
 
@@ -177,6 +181,7 @@ class Compiler:
         if q.group or sets:
             return self._grouped(q, scope, order, count, offset)
         columns, sequences, key = [], [], None
+        self.row_key = None
         for e, alias, is_key in q.items:
             if e.kind == "call" and e.name.lower() == "sequence":
                 a = [x.value for x in e.args_] or [0, 1]
@@ -189,6 +194,7 @@ class Compiler:
                     key = c
                 else:
                     columns.append((c, self._alias(alias, name, e)))
+        row_key, self.row_key = self.row_key, None
         plain = [(c, n) for c, n in columns if c is not None]
         df = scope.df
         own_key = has_key(df) and not q.distinct
@@ -200,7 +206,7 @@ class Compiler:
                 c = self.expr(e, scope)[0][0]
             hidden.append((c, fresh("order"), down))
         df = scope.df  # subqueries in expressions may have joined to it
-        keyed = [key.cast("long").alias(KEY)] if key is not None else [F.col(KEY)] if own_key and q.sources else []
+        keyed = [key.cast("long").alias(KEY)] if key is not None else [(F.col(KEY) if row_key is None else row_key).alias(KEY)] if own_key and q.sources else []
         df = df.select(*keyed, *(c.alias(n) for c, n in plain), *(c.alias(n) for c, n, _ in hidden if not q.distinct))
         if q.distinct:
             df = df.distinct()
@@ -234,14 +240,23 @@ class Compiler:
 
     def _aggregates(self, e: Node, scope: Scope, made: dict[str, Column]) -> list[tuple[Column, str]]:
         """An expression over set functions, as one over the columns that the aggregation makes of them."""
-        if e.kind == "call" and (e.name.lower() in SET_FUNCTIONS or self.session.functions.get(e.name, ("",))[0] == "UDAF"):
+        if e.kind == "call" and self.session.functions.get(e.name, ("",))[0] == "UDAF":
+            paths, args = [a for a in e.args_ if a.kind != "const"], [a.value for a in e.args_ if a.kind == "const"]
+            found = [self.expr(a, scope) for a in paths]
+            out = []
+            # One path stands for a call on each of its columns, several for one call on all.
+            for columns in [[f] for f in found[0]] if len(found) == 1 else [[f for part in found for f in part]]:
+                label = f"{e.name.lower()}({', '.join(n for _, n in columns)})"
+                made[label], key = self.session.functions[e.name][1](columns, F.col(KEY) if has_key(scope.df) else None, args, e.named)
+                if key is not None and self.set_key is not None:
+                    self.set_key.append(key)
+                out.append((col(label), label))
+            return out
+        if e.kind == "call" and e.name.lower() in SET_FUNCTIONS:
             out = []
             for c, name in self.expr(e.args_[0], scope):
                 label = f"{e.name.lower()}({'distinct ' if e.distinct else ''}{name})"
-                if e.name in self.session.functions:
-                    made[label] = self.session.functions[e.name][1](c)
-                else:
-                    made[label] = aggregate(e.name, c, F.col(KEY) if has_key(scope.df) else None, e.distinct)
+                made[label] = aggregate(e.name, c, F.col(KEY) if has_key(scope.df) else None, e.distinct)
                 out.append((col(label), label))
             return out
         if e.kind in ("binary", "negate", "bracket", "case", "call"):
@@ -269,9 +284,14 @@ class Compiler:
                     return over(aliases[e.path])
             return self._aggregates(e, grouped, made)
 
+        self.set_key = None if groups else []
         for e, alias, _ in q.items:
             for c, n in over(e):
                 outputs.append((c, alias or n))
+        if self.set_key:
+            made[KEY] = self.set_key[0]
+            outputs.insert(0, (F.col(KEY), KEY))
+        self.set_key = None
         condition = self.condition(q.having, grouped, over) if q.having is not None else None
         by = []
         for e, down in order:
@@ -379,6 +399,7 @@ class Compiler:
         return e.kind == "path" and "*" in e.path
 
     def condition(self, p: Node, scope: Scope, over=None) -> Column:
+        """A filter's or join's condition.  As NOT is pushed to the leaves, null fails like false and comparisons stay bare, which gives joins their keys and scans their filters."""
         p = self._positive(p, False)
         value = over or (lambda e: self.expr(e, scope))
         if p.kind == "and":
@@ -391,18 +412,21 @@ class Compiler:
             tests = [self._compared(a, p.op, b) for (a, _), (b, _) in itertools.product(value(p.left), value(p.right))]
             return reduce((lambda a, b: a & b) if p.mode == "&" else (lambda a, b: a | b), tests)
         if p.kind == "like":
-            tests = [S.truth(~S.like(c, p.pattern)) & c.isNotNull() if p.negated else S.like(c, p.pattern) for c, _ in value(p.left)]
+            tests = [~S.matches_like(c, p.pattern) if p.negated else S.matches_like(c, p.pattern) for c, _ in value(p.left)]
             return reduce((lambda a, b: a & b) if (p.mode == "&" or (p.negated and p.mode is None)) else (lambda a, b: a | b), tests)
         if p.kind == "in":
-            tests = [R.in_list(c, p.values, p.negated) for c, _ in value(p.left)]
+            bare = bool(p.values) and None not in p.values
+            tests = [(~c.isin(p.values) if p.negated else c.isin(p.values)) if bare else R.in_list(c, p.values, p.negated) for c, _ in value(p.left)]
             return reduce((lambda a, b: a & b) if (p.mode == "&" or (p.negated and p.mode is None)) else (lambda a, b: a | b), tests)
         if p.kind in ("exists", "in_query"):
             return self._marked(p, scope)
+        if p.kind == "quantified":
+            return self._quantified(p, scope)
         raise SqlError(f"{p.kind} isn't supported under OR")
 
     @staticmethod
     def _compared(a: Column, op: str, b: Column) -> Column:
-        return S.compare(a, op, b)
+        return S.COMPARE[op](a, b)
 
     def _inner(self, q: Node, scope: Scope) -> tuple[DataFrame, Column | None]:
         """A subquery's rows under names of their own, and the conditions that tie it to the query around it."""
@@ -470,22 +494,47 @@ class Compiler:
     def _marked(self, p: Node, scope: Scope) -> Column:
         """EXISTS or IN under OR: the row's match with distinct keys of the subquery, as a boolean column."""
         inner, on = self._inner(p.query, scope)
-        name = fresh("mark")
         if p.kind == "in_query":
             left = self.expr(p.left, scope)[0][0]
             test = left == col(value_columns(inner)[0])
             on = test if on is None else on & test
+        hit = self._hit(inner, on, scope)
+        if not p.negated:
+            return hit
+        return ~hit & left.isNotNull() if p.kind == "in_query" else ~hit
+
+    def _hit(self, inner: DataFrame, on: Column | None, scope: Scope) -> Column:
+        """Whether the row has a match in the subquery, as a boolean column that is added to the rows."""
+        name = fresh("mark")
         if on is None:
-            found = inner.limit(1).agg((F.count("*") > 0).alias(name))
-            scope.df = scope.df.crossJoin(found)  # one row
+            scope.df = scope.df.crossJoin(inner.limit(1).agg((F.count("*") > 0).alias(name)))  # one row
         else:
             row = fresh("row")
             # Numbered once, as both sides of the join below must agree on the numbers.
             rows = written(scope.df.withColumn(row, F.monotonically_increasing_id()))
             hits = rows.join(inner, on, "left_semi").select(F.col(row), F.lit(True).alias(name))
             scope.df = rows.join(hits, row, "left").drop(row)
-        hit = S.truth(F.col(name))
-        return ~hit if p.negated else hit
+        return S.truth(F.col(name))
+
+    def _quantified(self, p: Node, scope: Scope) -> Column:
+        """ANY or ALL under OR, as a boolean: equality is a match (or none), an order is decided on the extremes of the subquery."""
+        left = self.expr(p.left, scope)[0][0]
+        inner, on = self._inner(p.query, scope)
+        every = p.which == "all"
+        value = col(value_columns(inner)[0])
+        if on is not None or (p.op in ("=", "!=") and (p.op == "=") != every):
+            # Some row compares true; or, for ALL, none compares false.
+            test = S.COMPARE[S.OPPOSITE[p.op] if every else p.op](left, value)
+            hit = self._hit(inner.where(value.isNotNull()), test if on is None else on & test, scope)
+            return ~hit & left.isNotNull() if every else hit
+        lo, hi, n = fresh("lo"), fresh("hi"), fresh("n")
+        scope.df = scope.df.crossJoin(inner.agg(F.min(value).alias(lo), F.max(value).alias(hi), F.count(value).alias(n)))  # one row
+        if p.op in ("=", "!="):
+            same = (F.col(lo) == F.col(hi)) & (left == F.col(lo))
+            return same | (F.col(n) == 0) if every else ~same & (F.col(n) > 0)
+        bound = F.col(hi if (p.op in (">", ">=")) == every else lo)
+        test = S.COMPARE[p.op](left, bound)
+        return test | (F.col(n) == 0) if every else test
 
     # Expressions.
 
@@ -520,7 +569,7 @@ class Compiler:
         if e.kind == "scalar_query":
             return [self._scalar(e.query, scope)]
         if e.kind == "call":
-            return self._call(e, sub)
+            return self._call(e, sub, scope)
         raise SqlError(f"not an expression: {e.kind}")
 
     def _scalar(self, q: Node, scope: Scope) -> tuple[Column, str]:
@@ -531,11 +580,13 @@ class Compiler:
             one = one.select(F.when(F.assert_true(F.col("n") <= 1, F.lit("a scalar subquery has more than one row")).isNull(), F.col(name)).alias(name))
             scope.df = scope.df.crossJoin(one)  # one row
             scope.joined.append((one, None))
+        elif q.kind == "select" and any(c.name.lower() in SET_FUNCTIONS for e, _, _ in q.items for c in self._calls(e)):
+            scope.df = scope.df.join(inner, on, "left")  # grouped by what it is joined on
         else:
             scope.df = J.single(scope.df, inner, on, name)
         return F.col(name), "subquery"
 
-    def _call(self, e: Node, sub) -> list[tuple[Column, str]]:
+    def _call(self, e: Node, sub, scope: Scope) -> list[tuple[Column, str]]:
         name = e.name.lower()
         if name == "extract":
             return [(S.extract(c, e.args_[1].value), f"extract({n}, {e.args_[1].value})") for c, n in sub(e.args_[0])]
@@ -547,7 +598,9 @@ class Compiler:
         if e.name in self.session.functions and self.session.functions[e.name][0] == "UDTF":
             columns = [x for a in e.args_ if a.kind != "const" for x in sub(a)]
             constants = [a.value for a in e.args_ if a.kind == "const"]
-            return self.session.functions[e.name][1](columns, constants, e.named)
+            out, key = self.session.functions[e.name][1](columns, constants, e.named, F.col(KEY) if has_key(scope.df) else None)
+            self.row_key = key if has_key(scope.df) else None
+            return out
         if name in S.NATIVE:
             args = [sub(a) for a in e.args_]
             return [(S.NATIVE[name](*(c for c, _ in combo)), f"{name}({', '.join(n for _, n in combo)})") for combo in itertools.product(*args)]

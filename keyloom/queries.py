@@ -16,6 +16,8 @@ from .operators import series as X
 from .operators import setops as U
 from .operators.windows import downsample
 
+#: The end of key intervals that take in whole tables.
+WHOLE = 10**15
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -78,9 +80,9 @@ def filter_expression(spark, sf):
     return R.select(table(spark, sf, "lineitem"), F.col("l_extendedprice") * (1 - F.col("l_discount")) > F.col("l_quantity") * 1500).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE regexp_full_match(p_type, '.*(BRASS|STEEL)')")
+@query("SELECT p_partkey, p_type FROM part WHERE regexp_full_match(p_type, '(PROMO|SMALL).*')")
 def filter_like(spark, sf):
-    return R.select(table(spark, sf, "part"), S.like(F.col("p_type"), ".*(BRASS|STEEL)")).select("p_partkey", "p_type")
+    return R.select(table(spark, sf, "part"), S.like(F.col("p_type"), "(PROMO|SMALL).*")).select("p_partkey", "p_type")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
@@ -232,16 +234,16 @@ def join_left_outer(spark, sf):
     return J.join(table(spark, sf, "customer"), o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
-@query("SELECT o.o_orderkey, c.c_custkey FROM (SELECT * FROM orders WHERE o_orderkey % 10 = 0) o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey")
+@query("SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000")
 def join_right_outer(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf, "orders").where("o_totalprice > 300000")
     return J.join(o, table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"), "right").select("o_orderkey", "c_custkey")
 
 
-@query("SELECT s.s_suppkey, c.c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON s.s_suppkey = c.c_custkey")
+@query("SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL JOIN customer c ON s.s_suppkey = c.c_custkey AND s.s_nationkey < c.c_nationkey")
 def join_full_outer(spark, sf):
-    s, c = table(spark, sf, "supplier").where("s_suppkey % 2 = 0"), table(spark, sf, "customer").where("c_custkey % 3 = 0")
-    return J.join(s, c, F.col("s_suppkey") == F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
+    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
+    return J.join(s, c, (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") < F.col("c_nationkey")), "full").select("s_suppkey", "c_custkey")
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -299,9 +301,10 @@ def subquery_exists(spark, sf):
     return J.exists(table(spark, sf, "orders"), large, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)")
 def subquery_not_exists(spark, sf):
-    return J.exists(table(spark, sf, "customer"), table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), negated=True).select("c_custkey")
+    large = table(spark, sf, "orders").where("o_totalprice > 400000")
+    return J.exists(table(spark, sf, "customer"), large, F.col("c_custkey") == F.col("o_custkey"), negated=True).select("c_custkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)")
@@ -369,9 +372,9 @@ def path_union(spark, sf):
 # --- windows and series
 
 
-@query("SELECT event_id - event_id % 100 AS key, event_id - event_id % 100 AS window_start, event_id - event_id % 100 + 99 AS window_end, count(value) AS n, round(sum(value), 4) AS total FROM events WHERE event_id >= 0 AND event_id < 700 GROUP BY 1, 2, 3")
+@query("SELECT event_id - event_id % 100 AS key, event_id - event_id % 100 AS window_start, event_id - event_id % 100 + 99 AS window_end, count(value) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
 def downsample_tumbling(spark, sf):
-    return downsample(_events(spark, sf), 100, [F.count("value").alias("n"), F.round(F.sum("value"), 4).alias("total")], start=0, end=700)
+    return downsample(_events(spark, sf), 100, [F.count("value").alias("n"), F.round(F.sum("value"), 4).alias("total")], start=0, end=WHOLE)
 
 
 @query("WITH b AS (SELECT min(event_id) AS lo FROM events) SELECT event_id - (event_id - lo) % 64 AS key, event_id - (event_id - lo) % 64 AS window_start, event_id - (event_id - lo) % 64 + 63 AS window_end, max(value) AS top FROM events, b GROUP BY 1, 2, 3")
@@ -379,9 +382,9 @@ def downsample_no_interval(spark, sf):
     return downsample(_events(spark, sf), 64, [F.max("value").alias("top")])
 
 
-@query("SELECT s AS key, s AS window_start, s + 99 AS window_end, count(*) AS n FROM (SELECT i * 40 AS s FROM range(0, 14) t(i)) w JOIN events e ON e.event_id >= s AND e.event_id < s + 100 AND e.event_id >= 0 AND e.event_id < 600 GROUP BY s")
+@query("SELECT s AS key, s AS window_start, s + 99 AS window_end, count(*) AS n FROM (SELECT i * 40 AS s FROM range(0, (SELECT max(event_id) // 40 + 1 FROM events)) t(i)) w JOIN events e ON e.event_id >= s AND e.event_id < s + 100 GROUP BY s")
 def downsample_sliding(spark, sf):
-    return downsample(_events(spark, sf), 100, [F.count("*").alias("n")], slide=40, start=0, end=600)
+    return downsample(_events(spark, sf), 100, [F.count("*").alias("n")], slide=40, start=0, end=WHOLE)
 
 
 @query("SELECT event_id - event_id % 250 AS key, event_type, round(var_pop(value), 4) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2")

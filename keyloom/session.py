@@ -86,7 +86,7 @@ class Session:
     # Functions.
 
     def register_udtf(self, name: str, function: Callable, outputs: list[tuple[str, str]]) -> None:
-        self.functions[name] = ("UDTF", lambda columns, args, kvargs: adapter.udtf(function, columns, args, kvargs, [(f"{name}({', '.join(n for _, n in columns)})" if len(outputs) == 1 else o, t) for o, t in outputs]))
+        self.functions[name] = ("UDTF", lambda columns, args, kvargs, key: adapter.udtf(function, columns, args, kvargs, [(f"{name}({', '.join(n for _, n in columns)})" if len(outputs) == 1 else o, t) for o, t in outputs], key))
 
     def register_udaf(self, name: str, function: Callable, kind: str = "double") -> None:
         self.functions[name] = ("UDAF", adapter.udaf(function, kind))

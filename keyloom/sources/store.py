@@ -39,8 +39,18 @@ class PointStore:
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
     def _next(self) -> int:
-        used = [int(n.split("=")[1].split(".")[0]) for n in self._names(self.path) if n.startswith(("write=", "delete="))]
-        return max(used, default=0) + 1
+        """A sequence number that no other writer has: claimed by creating its file, which only one can."""
+        used = [int(n.split("=")[1].split(".")[0]) for n in self._names(self.path) if n.startswith(("write=", "delete=", "claim="))]
+        seq = max(used, default=0) + 1
+        while True:
+            fs, p = self._fs(f"{self.path}/claim={seq:012d}")
+            try:
+                fs.create(p, False).close()
+                return seq
+            except Exception as e:
+                if not fs.exists(p):
+                    raise e
+                seq += 1
 
     def insert(self, df: DataFrame) -> None:
         """Writes points: ``key`` and columns named by full paths.  A row's null cells leave older values alone."""
@@ -73,10 +83,11 @@ class PointStore:
         """Full names of the columns that a read gives, with their types."""
         return {f.name: f.dataType.simpleString() for f in self.read().schema if f.name != KEY}
 
-    def read(self, wanted=None) -> DataFrame:
-        """All points, or those of columns for which ``wanted(name)`` holds: one row a key.
+    def read(self, wanted=None, below: int | None = None) -> DataFrame:
+        """All points, or those of columns for which ``wanted(name)`` holds, of writes below a sequence number: one row a key.
 
-        One write needs no merge; several are merged by one aggregation on the key.
+        Writes are merged by one aggregation on the key; of several values that one write
+        gives a cell the greatest is taken, as their order isn't defined.
         """
         deletes = self._deletes()
         parts = []
@@ -84,6 +95,8 @@ class PointStore:
             if not n.startswith("write="):
                 continue
             seq = int(n[6:])
+            if below is not None and seq >= below:
+                continue
             df = self.spark.read.parquet(f"{self.path}/{n}")
             out = []
             for name in value_columns(df):
@@ -103,9 +116,7 @@ class PointStore:
             return self.spark.createDataFrame([], f"{KEY} long")
         names = list(dict.fromkeys(c for _, df in parts for c in value_columns(df)))
         if len(parts) == 1:
-            df = parts[0][1]
-            # Within one write the last of a key's rows isn't defined; the greatest value is taken.
-            merged = df.groupBy(KEY).agg(*(F.max(col(c)).alias(c) for c in names)) if self._repeats(df) else df
+            merged = parts[0][1].groupBy(KEY).agg(*(F.max(col(c)).alias(c) for c in names))
         else:
             rows = [df.withColumn("keyloom_seq", F.lit(seq)) for seq, df in parts]
             both = rows[0]
@@ -115,18 +126,20 @@ class PointStore:
         some = F.coalesce(*(col(c).cast("string") for c in names)).isNotNull()
         return merged.where(some)
 
-    @staticmethod
-    def _repeats(df: DataFrame) -> bool:
-        return not df.groupBy(KEY).count().where("count > 1").isEmpty()
-
     def compact(self) -> None:
-        """Rewrites all writes and deletes as one write."""
-        old = [n for n in self._names(self.path) if n.startswith(("write=", "delete="))]
+        """Rewrites all writes and deletes as one write.
+
+        Old writes go before tombstones and claims: whatever is left by a crash in between
+        is read under the tombstones that belong to it.
+        """
+        old = [n for n in self._names(self.path) if n.startswith(("write=", "delete=", "claim="))]
         seq = self._next()
-        self.read().write.parquet(f"{self.path}/write={seq:012d}")
-        for n in old:
-            fs, p = self._fs(f"{self.path}/{n}")
-            fs.delete(p, True)
+        self.read(below=seq).write.parquet(f"{self.path}/write={seq:012d}")
+        for kind in ("write=", "delete=", "claim="):
+            for n in old:
+                if n.startswith(kind):
+                    fs, p = self._fs(f"{self.path}/{n}")
+                    fs.delete(p, True)
 
     def count_points(self) -> int:
         df = self.read()

@@ -29,38 +29,63 @@ def load_class(file: str, name: str) -> type:
     return getattr(module, name.rpartition(".")[2])
 
 
-def udtf(function: Callable, columns: list[tuple[Column, str]], args: list, kvargs: dict, outputs: list[tuple[str, str]]) -> list[tuple[Column, str]]:
-    """Applies a row function; ``outputs`` are (name, type) of what it returns."""
-    schema = T.StructType([T.StructField(f"c{i}", T._parse_datatype_string(_TYPES.get(t, t))) for i, (_, t) in enumerate(outputs)])
+def udtf(function: Callable, columns: list[tuple[Column, str]], args: list, kvargs: dict, outputs: list[tuple[str, str]], key: Column | None = None) -> tuple[list[tuple[Column, str]], Column]:
+    """Applies a row function to each row's key and columns; ``outputs`` are (name, type) of what it returns.
+
+    Returns the outputs and the rows' key: what the function gives as its first column
+    ``key``, or else the key it got (0 where rows have none).
+    """
+    fields = [T.StructField("k", T.LongType()), *(T.StructField(f"c{i}", T._parse_datatype_string(_TYPES.get(t, t))) for i, (_, t) in enumerate(outputs))]
     names = [n for _, n in columns]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         made = function().transform if isinstance(function, type) else function
         rows = []
         for row in frame.itertuples(index=False):
-            out = made([["key", *names], ["LONG"] * (len(names) + 1), [0, *row]], args, kvargs)
-            last = out[-1] if out and len(out) > 2 else [None] * len(outputs)
-            rows.append(last[-len(outputs) :])
-        return pd.DataFrame(rows, columns=[f"c{i}" for i in range(len(outputs))])
+            row = [None if v is pd.NA or v != v else v for v in row]
+            out = made([[KEY, *names], ["LONG"] * (len(names) + 1), row], args, kvargs)
+            last = list(out[-1]) if out and len(out) > 2 else [None] * len(outputs)
+            keyed = bool(out) and len(last) > len(outputs) and str(out[0][0]).lower() == KEY
+            rows.append([last[0] if keyed else row[0], *last[-len(outputs) :]])
+        return pd.DataFrame(rows, columns=[f.name for f in fields])
 
     run.__annotations__ = {"frame": pd.DataFrame, "return": pd.DataFrame}
-    made = F.pandas_udf(run, schema)(F.struct(*(c.alias(f"a{i}") for i, (c, _) in enumerate(columns))))
-    return [(made[f"c{i}"], n) for i, (n, _) in enumerate(outputs)]
+    made = F.pandas_udf(run, T.StructType(fields))(F.struct((F.lit(0) if key is None else key).cast("long").alias("key"), *(c.alias(f"a{i}") for i, (c, _) in enumerate(columns))))
+    return [(made[f"c{i}"], n) for i, (n, _) in enumerate(outputs)], made["k"]
+
 
+def udaf(function: Callable, kind: str = "double") -> Callable:
+    """A set-to-value function as an aggregate over (columns, key, args, kvargs); a group's values come together, so groups should be bounded.
 
-def udaf(function: Callable, kind: str = "double") -> Callable[[Column], Column]:
-    """A set-to-value function as an aggregate; a group's values come together, so groups should be bounded."""
+    Gives its value and, if its result has a first column ``key``, the key; else None.
+    """
 
-    def run(values: pd.Series) -> object:
+    def call(names: list[str], args: list, kvargs: dict, rows: list[list]) -> list:
         made = function().transform if isinstance(function, type) else function
-        out = made([["key", "v"], ["LONG", "DOUBLE"], *([i, v] for i, v in enumerate(values))], [], {})
-        return out[-1][-1] if out and len(out) > 2 else None
+        return made([[KEY, *names], ["LONG"] + ["DOUBLE"] * len(names), *rows], args, kvargs)
+
+    def aggregate(columns: list[tuple[Column, str]], key: Column | None, args: list, kvargs: dict) -> tuple[Column, Column | None]:
+        names = [n for _, n in columns]
+
+        def over(pick: int, result: str) -> Column:
+            def run(keys: pd.Series, *values: pd.Series) -> object:
+                rows = [[None if v is pd.NA or v != v else v for v in row] for row in zip(keys.tolist(), *(v.tolist() for v in values), strict=True)]
+                out = call(names, args, kvargs, rows)
+                return out[-1][pick] if out and len(out) > 2 else None
+
+            from pyspark.sql.pandas.functions import PandasUDFType
+
+            made = F.pandas_udf(run, result, PandasUDFType.GROUPED_AGG)
+            return made((F.lit(0) if key is None else key).cast("long"), *(c for c, _ in columns))
 
-    run.__annotations__ = {"values": pd.Series, "return": object}
-    from pyspark.sql.pandas.functions import PandasUDFType
+        try:
+            # One made-up row shows whether the result has a key.
+            keyed = key is not None and str(call(names, args, kvargs, [[0] * (len(names) + 1)])[0][0]).lower() == KEY
+        except Exception:  # a function that fails on that row has no key as far as is known
+            keyed = False
+        return over(-1, _TYPES.get(kind, kind)), over(0, "bigint") if keyed else None
 
-    made = F.pandas_udf(run, _TYPES.get(kind, kind), PandasUDFType.GROUPED_AGG)
-    return lambda c: made(c)
+    return aggregate
 
 
 def udsf(function: Callable, schema: str) -> Callable:

@@ -135,3 +135,68 @@ def test_stream_into_the_store(spark, s, tmp_path):
     query = windows.ingest(windows.parse_messages(raw).select("key", F.col("value").alias("m.x")), s.store, f"file://{tmp_path}/cp")
     query.awaitTermination()
     assert got(s.sql("SELECT x FROM m;")) == [(5, 1.5)]
+
+
+def test_schedules():
+    from datetime import datetime
+
+    from keyloom.jobs import cron_next
+
+    now = datetime(2024, 1, 31, 12, 0, 0)  # a Wednesday
+    assert cron_next("0 30 9 ? * mon-fri", now) == datetime(2024, 2, 1, 9, 30)
+    assert cron_next("*/20 * * * * ?", now) == datetime(2024, 1, 31, 12, 0, 20)
+    assert cron_next("0 0 0 29 feb ? 2028", now) == datetime(2028, 2, 29) and cron_next("0 0 0 30 2 ?", now) is None
+    assert next_run("(0 0 13 * * ?)", now, True).hour == 13
+    assert next_run("every '13:00:00' on mon,thu", now, True) == datetime(2024, 2, 1, 13)
+    assert next_run("every 1 month", now, False) == datetime(2024, 2, 29, 12)
+    assert next_run("every 3 minute starts '13:00:00' ends '14:00:00'", now, True).hour == 13
+    assert next_run("every 3 hour ends '14:00:00'", now, False) is None
+    with pytest.raises(ValueError):
+        next_run("sometimes", now, True)
+
+
+def test_a_job_may_go_on_after_a_failure(s):
+    bad = [{"taskType": "sql", "sqlList": ["SELECT nothing FROM test;"]}]
+    stops, goes_on = Job(bad), Job(bad, stop_on_failure=False)
+    s.jobs.commit(stops), s.jobs.commit(goes_on)
+    assert (stops.state, goes_on.state) == ("FAILED", "PARTIALLY_FAILED") and stops.error
+    good = Job([{"taskType": "sql", "sqlList": ["SELECT a FROM test;"]}], schedule="after 0 second")
+    s.jobs.commit(good)
+    import time
+
+    for _ in range(200):
+        if good.state == "FINISHED":
+            break
+        time.sleep(0.1)
+    assert good.runs == 1 and good.state == "FINISHED"
+
+
+def test_quantified_and_marks_under_or(s):
+    assert got(s.sql("SELECT a FROM test WHERE a = 1 OR a >= ALL (SELECT a FROM test);")) == [(0, 1), (2, 3)]
+    assert got(s.sql("SELECT a FROM test WHERE a = 1 OR a < ANY (SELECT a FROM test WHERE a < 3);")) == [(0, 1)]
+    assert got(s.sql("SELECT a FROM test WHERE b > 100 OR a = ANY (SELECT a FROM test WHERE c LIKE 'y');")) == [(1, 2)]
+    assert got(s.sql("SELECT a FROM test WHERE b > 100 OR a != ALL (SELECT a FROM test WHERE c LIKE 'y');")) == [(0, 1), (2, 3)]
+    assert got(s.sql("SELECT t.a FROM test AS t WHERE t.a = 2 OR t.a > ALL (SELECT u.a FROM test AS u WHERE u.c = t.c AND u.a < 3);")) == [(1, 2), (2, 3)]
+
+
+def test_nulls_fail_comparisons_either_way(s):
+    # b is null at key 2.
+    assert got(s.sql("SELECT a FROM test WHERE b > 2.5 OR b <= 2.5;")) == [(0, 1), (1, 2)]
+    assert got(s.sql("SELECT a FROM test WHERE NOT (b > 2.5 AND a > 0);")) == [(0, 1)]
+    assert got(s.sql("SELECT a FROM test WHERE b NOT IN (2.0, 7.0);")) == [(1, 2)]
+    assert got(s.sql("SELECT a, CASE WHEN b > 2.5 THEN 1 ELSE 0 END AS x FROM test;")) == [(0, 1, 0), (1, 2, 1), (2, 3, 0)]
+
+
+def test_compaction_that_stops_half_way_brings_nothing_back(s):
+    s.sql("DELETE FROM test.a WHERE key = 1;")
+    fs_names = lambda: [n for n in s.store._names(s.store.path) if n.startswith("write=")]
+    old, want = fs_names(), got(s.sql("SELECT a, b, c FROM test;"))
+    s.store.read().write.parquet(f"{s.store.path}/write={s.store._next():012d}")
+    for n in old:  # compaction removes these first
+        assert got(s.sql("SELECT a, b, c FROM test;")) == want
+        fs, p = s.store._fs(f"{s.store.path}/{n}")
+        fs.delete(p, True)
+    assert got(s.sql("SELECT a, b, c FROM test;")) == want
+    s.sql("COMPACT;")
+    assert got(s.sql("SELECT a, b, c FROM test;")) == want
+    assert len({s.store._next() for _ in range(3)}) == 3
