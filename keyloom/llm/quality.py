@@ -1,12 +1,16 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Each text gets a few ratios.  A KLL sketch of each ratio is kept for every language and
-source; sketches merge, so a source with few documents falls back to its language's merged
-sketch and a rare language to the merge of all.  A text is rejected where a ratio lies
-beyond its group's upper fence: a high quantile plus several times the spread below it.
-Where most of a group's texts have the same ratio the spread is nothing; a small least
-spread then stands for it, so that one odd character doesn't reject a text.
+Each text gets a few ratios.  KLL sketches of each ratio and of the texts' lengths are kept
+for every language and source; sketches merge, so a source with few documents falls back to
+its language's merged sketches and a rare language to the merge of all.  A text is rejected
+where a ratio lies beyond its group's upper fence: a high quantile plus several times the
+spread below it.  Where most of a group's texts have the same ratio that spread is nothing;
+the spread then is what one occurrence makes in the group's median text, by its length
+sketches, so that one odd character doesn't reject a text.  No fence is a constant.
 Texts with too few words or mostly repeated phrases are rejected by the base rule.
+
+KLL sketches choose what they keep at random: a ratio that lies within a sketch's rank
+error (about 1.3 %) of its fence may be judged differently in another run.
 """
 
 from __future__ import annotations
@@ -26,10 +30,13 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 #: Documents from which a group's own sketch is used.
 GROUP = 200
-#: Fence: the quantile HIGH plus SPREADS times its distance from the median, which counts as the least spread at least.
+#: Fence: the quantile HIGH plus SPREADS times its distance from the median, which counts as one occurrence in the median text at least.
 #: A group may hold a share 1 - HIGH of junk before its own junk moves the fence.
 HIGH, SPREADS = 0.85, 8.0
-LEAST_SPREADS = {"symbol_ratio": 0.005, "dup_line_ratio": 0.03, "repeat_ratio": 0.03, "upper_ratio": 0.002, "shout_ratio": 0.005, "word_chars_mean": 0.05}
+RATIOS = ["symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "shout_ratio", "word_chars_mean"]
+LENGTHS = ["n_words", "n_lines", "word_chars"]
+#: A phrase that occurs again makes this many repeated words: three here, three there.
+REPEATED_AT_ONCE = 6
 #: Groups up to which fences are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -147,26 +154,35 @@ def base_failed() -> F.Column:
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """(keyloom_lang, keyloom_source, n, one KLL sketch for each ratio) of the texts that pass the base rule; sketches may be stored and merged later."""
-    ratios = counted.where(~base_failed()).select(F.col("keyloom_lang"), F.col("keyloom_source"), *(c.alias(name) for name, c in _ratios().items()))
-    return ratios.groupBy("keyloom_lang", "keyloom_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(name).alias(name) for name in LEAST_SPREADS))
+    """(keyloom_lang, keyloom_source, n, one KLL sketch for each ratio and length) of the texts that pass the base rule; sketches may be stored and merged later."""
+    lengths = (F.greatest(F.lit(1), F.col(f"keyloom_{name}")).cast("double").alias(name) for name in LENGTHS)
+    values = counted.where(~base_failed()).select(F.col("keyloom_lang"), F.col("keyloom_source"), *(c.alias(name) for name, c in _ratios().items()), *lengths)
+    return values.groupBy("keyloom_lang", "keyloom_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(name).alias(name) for name in (*RATIOS, *LENGTHS)))
+
+
+def _least_spreads(median) -> dict[str, F.Column]:
+    """What one occurrence makes of each ratio in a text of median length."""
+    words, lines, chars = (median(name) for name in LENGTHS)
+    once = F.lit(1.0) / words
+    return {"symbol_ratio": once, "dup_line_ratio": F.lit(1.0) / lines, "repeat_ratio": REPEATED_AT_ONCE * once, "upper_ratio": F.lit(1.0) / chars, "shout_ratio": once, "word_chars_mean": median("word_chars_mean") * once}
 
 
 def fences(kept: DataFrame) -> DataFrame:
     """The upper fence of each ratio for every language and source, from their sketches."""
-    merged = lambda *by: kept.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(name).alias(name) for name in LEAST_SPREADS))
+    merged = lambda *by: kept.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(name).alias(name) for name in (*RATIOS, *LENGTHS)))
 
     def fence(df: DataFrame, mark: str, by: list[str]) -> DataFrame:
-        high = {name: F.kll_sketch_get_quantile_double(name, F.lit(HIGH)) for name in LEAST_SPREADS}
-        mid = {name: F.kll_sketch_get_quantile_double(name, F.lit(0.5)) for name in LEAST_SPREADS}
-        return df.select(*by, F.struct(F.col("n"), *((high[name] + SPREADS * F.greatest(F.lit(LEAST_SPREADS[name]), high[name] - mid[name])).alias(name) for name in LEAST_SPREADS)).alias(mark))
+        quantile = lambda name, rank: F.kll_sketch_get_quantile_double(name, F.lit(rank))
+        median = lambda name: quantile(name, 0.5)
+        least = _least_spreads(median)
+        return df.select(*by, F.struct(F.col("n"), *((quantile(name, HIGH) + SPREADS * F.greatest(least[name], quantile(name, HIGH) - median(name))).alias(name) for name in RATIOS)).alias(mark))
 
     groups = fence(kept, "own", ["keyloom_lang", "keyloom_source"])
     langs = fence(merged("keyloom_lang"), "lang", [F.col("keyloom_lang").alias("of_lang")])
     everything = fence(merged(), "all", [])
     joined = groups.join(langs, F.col("keyloom_lang").eqNullSafe(F.col("of_lang")), "left").crossJoin(everything)  # one row
     pick = lambda name: F.when(F.col("own.n") >= GROUP, F.col(f"own.{name}")).when(F.col("lang.n") >= GROUP, F.col(f"lang.{name}")).otherwise(F.col(f"all.{name}"))
-    return joined.select(F.col("keyloom_lang").alias("fence_lang"), F.col("keyloom_source").alias("fence_source"), *(pick(name).alias(f"fence_{name}") for name in LEAST_SPREADS))
+    return joined.select(F.col("keyloom_lang").alias("fence_lang"), F.col("keyloom_source").alias("fence_source"), *(pick(name).alias(f"fence_{name}") for name in RATIOS))
 
 
 def _judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
@@ -196,10 +212,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
+    # The counts are written beside the rows, so that each text is counted once and sketches read counts only.
     work = Workspace(docs.sparkSession, "quality_keep")
-    counted = _counted(docs.withColumns({"keyloom_lang": F.col("lang"), "keyloom_source": F.col("source")}))
-    slim = work.write(_counted(docs.select("text", F.col("lang").alias("keyloom_lang"), F.col("source").alias("keyloom_source"))).drop("text"), "counted")
-    limits = work.write(fences(sketches(slim)), "fences")
+    counted = work.write(_counted(docs.withColumns({"keyloom_lang": F.col("lang"), "keyloom_source": F.col("source")})), "counted")
+    limits = work.write(fences(sketches(counted)), "fences")
     return _judged(counted, limits).where("keyloom_kept").select(*docs.columns)
 
 
