@@ -14,12 +14,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .workspace import Workspace
+
 WIDTH = 5
 BITS = 64
 #: Terms whose votes one packed sum can hold: 2^15 in the top lane would overflow the signed long.
 LANE_TERMS = (1 << 15) - 1
 _LANES = 16
 _MASK = 0x0001000100010001
+#: Documents whose id this divides ask for their neighbours.
+QUERIED = 20
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -85,41 +89,50 @@ def near_fingerprints(queries: DataFrame, fingerprints_: DataFrame, radius: int
     return met.where(distance <= radius).select("query_bits", "bits", distance.alias("distance")).distinct()
 
 
-def document_fingerprints(docs: DataFrame) -> DataFrame:
+def document_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     """Fingerprint of each text and of its edited text, with their likeness and that to the next document's.
 
     Takes doc_id and text, other columns are ignored.  The edited text is the text with its
     last floor(n_chars / 4) code points replaced by as many first ones of the next document
     (all if it has fewer), in ascending doc_id, the first following the last.  Returns
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (16 hex digits),
-    near_edited, near_next, a row for each input row.  Null texts count as empty; texts
-    without words have fingerprint 0.  Equal doc_ids are ordered by text, a null one comes
-    first.  A single document is its own next one.
+    near_edited, near_next, near_marks, a row for each input row.  near_marks is, for
+    documents whose id is divisible by :data:`QUERIED`, how many other fingerprints of the
+    documents lie within ``radius`` bits of its own, as the block tables find them, and null
+    for others.  Null texts count as empty; texts without words have fingerprint 0.  Equal
+    doc_ids are ordered by text, a null one comes first.  A single document is its own next one.
     """
+    work = Workspace(docs.sparkSession, "simhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = _cuts(rows)
     bucket = F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    ordered = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    placed = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket)).withColumn("place", F.row_number().over(ordered)).withColumn("own_next", F.lead("text").over(ordered))
-    # The first text of each range: as many rows as ranges, which the cuts bound.
-    firsts = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket)).groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text")).alias("head"))
-    turn = Window.orderBy("bucket")
-    first_of_all = F.first("head.text").over(turn)
-    after = firsts.select("bucket", F.coalesce(F.lead("head.text").over(turn), first_of_all).alias("range_next"), F.coalesce(F.lead("bucket").over(turn), F.first("bucket").over(turn)).alias("range_after"))
-    joined = placed.join(F.broadcast(after), "bucket")
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket))
+    # Each range's first row comes again behind the range before it, the first range's behind the last.
+    heads = work.write(rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text")).alias("head")), "heads")
+    ranges = [r.bucket for r in heads.select("bucket").orderBy("bucket").collect()]  # as many as the cuts allow
+    follow = docs.sparkSession.createDataFrame([(b, a) for a, b in zip(ranges, [*ranges[1:], *ranges[:1]], strict=True)], "bucket int, before int")
+    guests = heads.join(F.broadcast(follow), "bucket").select(F.col("before").alias("bucket"), "head.doc_id", "head.text", F.lit(True).alias("guest"))
+    ordered = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
+    placed = rows.select("bucket", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests)
+    placed = placed.withColumns({"place": F.row_number().over(ordered), "next": F.lead("text").over(ordered), "ends": F.lead("guest").over(ordered)}).where("NOT guest")
     n = F.length("text")
     moved = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - moved), F.substring(F.coalesce("own_next", "range_next"), F.lit(1), moved))
-    two = joined.select("bucket", "place", "doc_id", n.cast("long").alias("n_chars"), F.col("own_next").isNull().alias("ends"), "range_after", F.explode(F.array(F.struct(F.lit(0).alias("edit"), F.col("text").alias("body")), F.struct(F.lit(1).alias("edit"), edited.alias("body")))).alias("v"))
-    two = two.select("bucket", "place", "doc_id", "n_chars", "ends", "range_after", "v.edit", F.col("v.body").alias("body"), F.when(F.col("v.edit") == 1, F.sha2("v.body", 256)).alias("sha"))
-    keys = ["bucket", "place", "edit", "doc_id", "n_chars", "ends", "range_after", "sha"]
-    marks = fingerprints(two, keys, "body")
-    one = marks.groupBy("bucket", "place").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_chars", "ends", "range_after", "sha")), F.max(F.when(F.col("edit") == 0, F.col("bits"))).alias("bits"), F.max(F.when(F.col("edit") == 1, F.col("bits"))).alias("edited_bits"))
+    edited = F.concat(F.substring("text", F.lit(1), n - moved), F.substring("next", F.lit(1), moved))
+    two = placed.select("bucket", "place", "doc_id", n.cast("long").alias("n_chars"), "ends", F.explode(F.array(F.struct(F.lit(0).alias("edit"), F.col("text").alias("body")), F.struct(F.lit(1).alias("edit"), edited.alias("body")))).alias("v"))
+    two = two.select("bucket", "place", "doc_id", "n_chars", "ends", "v.edit", F.col("v.body").alias("body"), F.when(F.col("v.edit") == 1, F.sha2("v.body", 256)).alias("sha"))
+    marks = fingerprints(two, ["bucket", "place", "edit", "doc_id", "n_chars", "ends", "sha"], "body")
+    one = marks.groupBy("bucket", "place").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_chars", "ends", "sha")), F.max(F.when(F.col("edit") == 0, F.col("bits"))).alias("bits"), F.max(F.when(F.col("edit") == 1, F.col("bits"))).alias("edited_bits"))
+    one = work.write(one, "marks")
     # The next document's fingerprint: one row further in the range, or the first of the next range.
-    to = one.select(F.when(F.col("ends"), F.col("range_after")).otherwise(F.col("bucket")).alias("to_bucket"), F.when(F.col("ends"), F.lit(1)).otherwise(F.col("place") + 1).alias("to_place"), *(c for c in one.columns if c not in ("bucket", "place")))
-    nexts = marks.where("edit = 0").select(F.col("bucket").alias("to_bucket"), F.col("place").alias("to_place"), F.col("bits").alias("next_bits"))
+    after = F.broadcast(follow.select(F.col("before").alias("bucket"), F.col("bucket").alias("range_after")))
+    to = one.join(after, "bucket").select(F.when(F.col("ends"), F.col("range_after")).otherwise(F.col("bucket")).alias("to_bucket"), F.when(F.col("ends"), F.lit(1)).otherwise(F.col("place") + 1).alias("to_place"), "doc_id", "n_chars", "sha", "bits", "edited_bits")
+    nexts = one.select(F.col("bucket").alias("to_bucket"), F.col("place").alias("to_place"), F.col("bits").alias("next_bits"))
+    asked = F.coalesce(F.col("doc_id") % QUERIED == 0, F.lit(False))
+    near = near_fingerprints(one.where(asked).select("bits"), one.select("bits"), radius).where("distance > 0").groupBy("query_bits").agg(F.count("*").alias("near_marks"))
+    near = work.write(near, "near")
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return to.join(nexts, ["to_bucket", "to_place"]).select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), digits("bits").alias("fingerprint"), digits("edited_bits").alias("edited_fingerprint"), likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), likeness(F.col("bits"), F.col("next_bits")).alias("near_next"))
+    found = to.join(nexts, ["to_bucket", "to_place"]).join(near, asked & (F.col("bits") == F.col("query_bits")), "left")
+    return found.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), digits("bits").alias("fingerprint"), digits("edited_bits").alias("edited_fingerprint"), likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), likeness(F.col("bits"), F.col("next_bits")).alias("near_next"), F.when(asked, F.coalesce("near_marks", F.lit(0))).alias("near_marks"))
 
 
 def _cuts(rows: DataFrame, per_range: int = 2000, most: int = 4096) -> list[int]:
