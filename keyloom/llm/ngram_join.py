@@ -36,6 +36,7 @@ PAIRED = 16
 BLOCK = 128
 #: Frequent shingles only steer which signatures are chosen, never which pairs are found.  They are in this share of the
 #: documents, so there are at most 1 / share times a document's mean number of shingles, however many documents there are.
+#: A larger share would leave passages of many documents among the rare ones, and candidates would grow faster than the input.
 FREQUENT_SHARE = 0.001
 #: Ids and labels are broadcast up to this number (8 to 32 bytes each) and joined by a shuffle beyond it.
 BROADCAST_IDS = 1 << 21
@@ -57,12 +58,12 @@ def class_keys(features: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def parity_sketches(features: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """For each set one bit for each of 2^k cells, at least two for a feature: whether the set has an odd number of features there.
+    """For each set one bit for each of 2^k cells, at least one for a feature: whether the set has an odd number of features there.
 
     Halves of a sketch, combined by XOR, are the sketch of half as many cells.
     """
     n = np.diff(at)
-    cells = np.array([1 << max(3, (2 * x - 1).bit_length()) if x else 8 for x in n.tolist()], np.int64)
+    cells = np.array([1 << max(3, (x - 1).bit_length()) if x else 8 for x in n.tolist()], np.int64)
     stop = np.concatenate(([0], np.cumsum(cells)))
     cell = (features & np.repeat(cells - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(stop[:-1], n)
     raw = np.packbits((np.bincount(cell, minlength=stop[-1]) & 1).astype(np.uint8)).tobytes()
@@ -127,7 +128,7 @@ def _emit(width: int, percent: int, reducers: int, frequent: np.ndarray):
         for batch in batches:
             texts = filled(batch.column(1))
             for lo, hi in _slices(texts):
-                keys, sizes, n_words, sketches, seen, sigs, owners = [], [], [], [], {}, [], []
+                keys, sizes, n_words, sketches, seen, classes, sigs, owners = [], [], [], [], {}, [], [], []
                 for features, at, words in set_chunks(texts.slice(lo, hi - lo), width):
                     n_words.append(words)
                     found, n = class_keys(features, at).tolist(), np.diff(at)
@@ -139,13 +140,14 @@ def _emit(width: int, percent: int, reducers: int, frequent: np.ndarray):
                     for i, key in enumerate(found):
                         if n[i] and key not in seen:
                             seen[key] = len(seen)
+                            classes.append(key + int(n[i]).to_bytes(4, "little"))
                             new.append(i)
                     sig, owner = set_signatures(*_chosen(features, at, new), bands, frequent)
                     sigs.append(sig)
                     owners.append(owner + (len(seen) - len(new)))
                 rows = batch.slice(lo, hi - lo)
                 facts = {"doc_id": rows.column(0), "key": pa.array(keys, pa.binary()), "n": pa.array(np.concatenate(sizes)), "sketch": pa.array(sketches, pa.binary()), "n_words": pa.array(np.concatenate(n_words)), "carried": rows.column(2)}
-                yield from _packed(facts, list(seen), np.concatenate(sigs), np.concatenate(owners).astype(np.uint32), reducers)
+                yield from _packed(facts, classes, np.concatenate(sigs), np.concatenate(owners).astype(np.uint32), reducers)
 
     return run
 
@@ -167,7 +169,7 @@ def _slices(texts: pa.Array, group: int = 12) -> Iterator[tuple[int, int]]:
 
 
 def _packed(facts: dict[str, pa.Array], classes: list[bytes], all_sigs: np.ndarray, owner: np.ndarray, reducers: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and one for each reducer with its share of the signatures: 32 bits of each, where its class stands in the row's list, that list.
+    """A row for each document, and one for each reducer with its share of the signatures: 32 bits of each, where its class stands in the row's list, that list (keys and sizes).
 
     Documents are dealt round robin, so many copies of one text are no large task.
     """
@@ -182,7 +184,7 @@ def _packed(facts: dict[str, pa.Array], classes: list[bytes], all_sigs: np.ndarr
     order = np.argsort(all_sigs)
     all_sigs, owner, to = all_sigs[order], owner[order], to[order] >> np.uint64(32)
     ends = np.searchsorted(to, np.arange(reducers + 1))
-    own_names = np.frombuffer(b"".join(classes), "V16")
+    own_names = np.frombuffer(b"".join(classes), "V20")
     rows = []
     for r in range(reducers):
         a, b = ends[r], ends[r + 1]
@@ -199,51 +201,58 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One reducer's share of all signatures: documents pass through; classes that share a signature become pairs or stars."""
-    sigs, owners, keys, have = [], [], [], 0
-    for batch in batches:
-        packed = batch.column("sigs").is_valid()
-        docs = batch.filter(packed.__class__.from_pandas(~packed.to_numpy(zero_copy_only=False)))
-        if docs.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * docs.num_rows), *(docs.column(c) for c in ("key", "sketch", "doc_id", "n", "n_words", "carried"))], names=_names(_MET))
-        rows = batch.filter(packed)
-        for s, at, names in zip(*(rows.column(c).to_pylist() for c in ("sigs", "at", "keys")), strict=True):
-            s, names = np.frombuffer(s, np.uint32), np.frombuffer(names, "V16")
-            sigs.append(s)
-            owners.append(np.frombuffer(at, np.uint16 if len(at) == 2 * len(s) else np.uint32).astype(np.int64) + have)
-            keys.append(names)
-            have += len(names)
-    if not sigs:
-        return
-    names = np.concatenate(keys)
-    halves = names.view(np.uint64).reshape(-1, 2)
-    order = np.lexsort((halves[:, 1], halves[:, 0]))
-    new = np.concatenate(([True], (halves[order][1:] != halves[order][:-1]).any(axis=1)))
-    rank = np.empty(len(names), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    names = names[order][new]
-    sig, owner = np.concatenate(sigs), rank[np.concatenate(owners)]
-    both = np.sort((sig.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64))
-    both = both[np.concatenate(([True], both[1:] != both[:-1]))]
-    sig, owner = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    length = np.diff(np.append(start, len(sig)))
-    pairs, stars = [], []
-    for size in range(2, PAIRED + 1):
-        at = start[length == size]
-        for i in range(size):
-            for j in range(i + 1, size):
-                pairs.append(owner[at + i] * len(names) + owner[at + j])
-    for at, size in zip(start[length > PAIRED], length[length > PAIRED], strict=True):
-        stars.append(owner[at] * len(names) + owner[at + 1 : at + size])
-    for kind, found in (("pair", pairs), ("large", stars)):
-        found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        for lo in range(0, len(found), 50_000):
-            part = found[lo : lo + 50_000]
-            a, b = (pa.array(names[side].tolist(), pa.binary()) for side in (part // len(names), part % len(names)))
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.string()), a, b, none, none, none, pa.nulls(len(part), pa.string())], names=_names(_MET))
+def _meet(percent: int):
+    """One reducer's share of all signatures: documents pass through; classes that share a signature become pairs, of sizes that can link, or stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, owners, keys, have = [], [], [], 0
+        for batch in batches:
+            packed = batch.column("sigs").is_valid()
+            docs = batch.filter(packed.__class__.from_pandas(~packed.to_numpy(zero_copy_only=False)))
+            if docs.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(["doc"] * docs.num_rows), *(docs.column(c) for c in ("key", "sketch", "doc_id", "n", "n_words", "carried"))], names=_names(_MET))
+            rows = batch.filter(packed)
+            for s, at, names in zip(*(rows.column(c).to_pylist() for c in ("sigs", "at", "keys")), strict=True):
+                s, names = np.frombuffer(s, np.uint32), np.frombuffer(names, [("key", "V16"), ("n", "<u4")])
+                sigs.append(s)
+                owners.append(np.frombuffer(at, np.uint16 if len(at) == 2 * len(s) else np.uint32).astype(np.int64) + have)
+                keys.append(names)
+                have += len(names)
+        if not sigs:
+            return
+        facts = np.concatenate(keys)
+        names, sizes = np.ascontiguousarray(facts["key"]), facts["n"].astype(np.int64)
+        halves = names.view(np.uint64).reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        new = np.concatenate(([True], (halves[order][1:] != halves[order][:-1]).any(axis=1)))
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        names, sizes = names[order][new], sizes[order][new]
+        sig, owner = np.concatenate(sigs), rank[np.concatenate(owners)]
+        both = np.sort((sig.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64))
+        both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+        sig, owner = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        length = np.diff(np.append(start, len(sig)))
+        pairs, stars = [], []
+        for size in range(2, PAIRED + 1):
+            at = start[length == size]
+            for i in range(size):
+                for j in range(i + 1, size):
+                    a, b = owner[at + i], owner[at + j]
+                    near = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+                    pairs.append(a[near] * len(names) + b[near])
+        for at, size in zip(start[length > PAIRED], length[length > PAIRED], strict=True):
+            stars.append(owner[at] * len(names) + owner[at + 1 : at + size])
+        for kind, found in (("pair", pairs), ("large", stars)):
+            found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            for lo in range(0, len(found), 50_000):
+                part = found[lo : lo + 50_000]
+                a, b = (pa.array(names[side].tolist(), pa.binary()) for side in (part // len(names), part % len(names)))
+                none = pa.nulls(len(part), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.string()), a, b, none, none, none, pa.nulls(len(part), pa.string())], names=_names(_MET))
+
+    return run
 
 
 def _keyed(width: int):
@@ -347,7 +356,7 @@ def linked_rows(docs: DataFrame, carry: Column, width: int = 5, percent: int = 7
     total = texts.count()
     reducers = max(partitions(spark), total // MET_DOCUMENTS)
     frequent = _frequent(texts, width, total)
-    met = work.write(texts.mapInArrow(_emit(width, percent, reducers, frequent), _EMITTED).repartitionById(reducers, "r").mapInArrow(_meet, _MET), "met")
+    met = work.write(texts.mapInArrow(_emit(width, percent, reducers, frequent), _EMITTED).repartitionById(reducers, "r").mapInArrow(_meet(percent), _MET), "met")
     rows = met.where("kind = 'doc'").select("doc_id", F.col("a").alias("key"), "n", "n_words", "carried")
     classes = work.write(met.where("kind = 'doc' AND n > 0").groupBy(F.col("a").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("b").alias("sketch")), "classes")
     facts = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
