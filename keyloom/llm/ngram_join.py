@@ -37,7 +37,7 @@ BLOCK = 128
 #: Frequent shingles only steer which signatures are chosen, never which pairs are found.  They are in this share of the
 #: documents, so there are at most 1 / share times a document's mean number of shingles, however many documents there are.
 #: A larger share would leave passages of many documents among the rare ones, and candidates would grow faster than the input.
-FREQUENT_SHARE = 0.001
+FREQUENT_SHARE = 0.0001
 #: Ids and labels are broadcast up to this number (8 to 32 bytes each) and joined by a shuffle beyond it.
 BROADCAST_IDS = 1 << 21
 #: Documents for each task that signatures meet in, so that its memory doesn't grow with the input.
