@@ -36,12 +36,6 @@ def aggregate(name: str, value: Column, key: Column | None = None, distinct: boo
     raise ValueError(f"no such set function: {name}")
 
 
-def percentile(value: Column, p: float) -> Column:
-    """sorted[floor(p * (n - 1))] of the non-null values; exact."""
-    values = F.sort_array(F.collect_list(value))
-    return F.try_element_at(values, (F.floor(F.lit(p) * (F.size(values) - 1)) + 1).cast("int"))
-
-
 def dev(value: Column) -> Column:
     """Population variance, E[x^2] - E[x]^2."""
     return F.var_pop(value)

@@ -106,7 +106,7 @@ def curve_match(df: DataFrame, paths: list[str], curve: list[float], band: int =
     q = np.asarray(curve, float)
     chunk = max(chunk, len(q))
     long = df.select(KEY, F.explode(F.array(*(F.struct(F.lit(p).alias("path"), col(p).cast("double").alias("value")) for p in paths))).alias("p")).select(KEY, "p.path", "p.value").where(F.col("value").isNotNull())
-    cuts = _cuts(df, chunk)
+    cuts = key_cuts(df, chunk)
     bucketed = long.withColumn("bucket", F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col(KEY))) if cuts else F.lit(0))
     counted = bucketed.groupBy("path", "bucket").agg(F.count("*").alias("n"))
     # As many rows as ranges of each path, which the cuts bound.
@@ -126,7 +126,7 @@ def curve_match(df: DataFrame, paths: list[str], curve: list[float], band: int =
     return found.groupBy("path").agg(F.min(F.struct("distance", "at", KEY)).alias("best")).select("path", f"best.{KEY}", "best.distance")
 
 
-def _cuts(df: DataFrame, per_range: int, most: int = 4096) -> list[int]:
+def key_cuts(df: DataFrame, per_range: int, most: int = 4096) -> list[int]:
     """Approximate quantiles of the key between ranges of about ``per_range`` rows; ``most`` cuts at most."""
     ranges = max(1, min(most, df.select(KEY).count() // per_range))
     if ranges == 1:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import aggregate, dev, percentile
+from ..functions.aggregates import aggregate, dev
 from ..model import KEY, col, value_columns
+from .curve import key_cuts
+
+#: Rows for each range of keys that a single series is cut into.
+RANGE = 1_000_000
 
 
 def first_last(df: DataFrame, which: str = "last", columns: list[str] | None = None) -> DataFrame:
@@ -28,7 +32,7 @@ def bucketed(df: DataFrame, value: str, function: str, size: int, by: list[str]
     if function == "dev":
         agg = dev(v)
     elif function == "percentile":
-        agg = percentile(v, p)
+        return _percentiles(df.where(v.isNotNull()).groupBy(bucket, *map(col, by or []), v.alias(value)).agg(F.count("*").alias("keyloom_n")), value, by or [], p)
     elif function in ("first", "last"):
         agg = aggregate(f"{function}_value", v, F.col(KEY))
     else:
@@ -36,27 +40,55 @@ def bucketed(df: DataFrame, value: str, function: str, size: int, by: list[str]
     return df.where(v.isNotNull()).groupBy(bucket, *map(col, by or [])).agg(agg.alias(value))
 
 
-def _ordered(by: list[str] | None) -> Window:
-    return Window.partitionBy(*map(col, by or [])).orderBy(KEY)
+def _percentiles(counted: DataFrame, value: str, by: list[str], p: float) -> DataFrame:
+    """sorted[floor(p * (n - 1))] of each bucket's values, exact, from the values' counts; no bucket is held in memory."""
+    bucket = Window.partitionBy(KEY, *map(col, by))
+    upto = F.sum("keyloom_n").over(bucket.orderBy(col(value)).rowsBetween(Window.unboundedPreceding, 0))
+    at = F.floor(F.lit(p) * (F.sum("keyloom_n").over(bucket) - 1))
+    placed = counted.withColumn("keyloom_upto", upto).withColumn("keyloom_at", at)
+    return placed.where("keyloom_at < keyloom_upto AND keyloom_at >= keyloom_upto - keyloom_n").select(KEY, *map(col, by), col(value))
+
 
+def _with_previous(df: DataFrame, value: str, by: list[str] | None, per_range: int) -> DataFrame:
+    """The rows that have a value, and in ``keyloom_before`` the key k and value v of the row before in their series.
 
-def diff(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    A table that is one series is cut into ranges of keys, so that no task sorts all of it;
+    the row before a range's first is the last one of the range before, one for each range.
+    """
+    rows = df.where(col(value).isNotNull())
+    own = F.struct(F.col(KEY).alias("k"), col(value).alias("v"))
+    if by:
+        return rows.withColumn("keyloom_before", F.lag(own).over(Window.partitionBy(*map(col, by)).orderBy(KEY)))
+    cuts = key_cuts(rows, per_range)
+    ranged = rows.withColumn("keyloom_range", F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col(KEY))) if cuts else F.lit(0))
+    ends = ranged.groupBy("keyloom_range").agg(F.max_by(own, KEY).alias("keyloom_last"))
+    # As many rows as ranges, which the cuts bound.
+    ends = ends.select("keyloom_range", F.lag("keyloom_last").over(Window.orderBy("keyloom_range")).alias("keyloom_last"))
+    within = F.lag(own).over(Window.partitionBy("keyloom_range").orderBy(KEY))
+    joined = ranged.join(F.broadcast(ends), "keyloom_range").withColumn("keyloom_before", F.coalesce(within, F.col("keyloom_last")))
+    return joined.drop("keyloom_range", "keyloom_last")
+
+
+def _changed(df: DataFrame, value: str, by: list[str] | None, per_range: int, change) -> DataFrame:
+    """The value becomes ``change`` of itself, of the previous value and of the distance in keys; rows without one go."""
+    rows = _with_previous(df, value, by, per_range)
+    found = change(col(value), F.col("keyloom_before.v"), F.nullif(F.col(KEY) - F.col("keyloom_before.k"), F.lit(0)))
+    return rows.withColumn(value, found).drop("keyloom_before").where(col(value).isNotNull())
+
+
+def diff(df: DataFrame, value: str, by: list[str] | None = None, per_range: int = RANGE) -> DataFrame:
     """x - previous x, of each series; a series' first row has none."""
-    change = col(value) - F.lag(col(value)).over(_ordered(by))
-    return df.where(col(value).isNotNull()).withColumn(value, change).where(col(value).isNotNull())
+    return _changed(df, value, by, per_range, lambda x, before, _: x - before)
 
 
-def rate(df: DataFrame, value: str, unit: int, by: list[str] | None = None) -> DataFrame:
+def rate(df: DataFrame, value: str, unit: int, by: list[str] | None = None, per_range: int = RANGE) -> DataFrame:
     """(x - previous x) * unit / (key - previous key)."""
-    w = _ordered(by)
-    change = (col(value) - F.lag(col(value)).over(w)) * F.lit(float(unit)) / F.nullif(F.col(KEY) - F.lag(KEY).over(w), F.lit(0))
-    return df.where(col(value).isNotNull()).withColumn(value, change).where(col(value).isNotNull())
+    return _changed(df, value, by, per_range, lambda x, before, step: (x - before) * F.lit(float(unit)) / step)
 
 
-def sampler(df: DataFrame, value: str, unit: int, by: list[str] | None = None) -> DataFrame:
+def sampler(df: DataFrame, value: str, unit: int, by: list[str] | None = None, per_range: int = RANGE) -> DataFrame:
     """x * unit / (key - previous key)."""
-    share = col(value) * F.lit(float(unit)) / F.nullif(F.col(KEY) - F.lag(KEY).over(_ordered(by)), F.lit(0))
-    return df.where(col(value).isNotNull()).withColumn(value, share).where(col(value).isNotNull())
+    return _changed(df, value, by, per_range, lambda x, _, step: x * F.lit(float(unit)) / step)
 
 
 def div(df: DataFrame, value: str, divisor: float) -> DataFrame:

@@ -247,10 +247,12 @@ class Compiler:
             # One path stands for a call on each of its columns, several for one call on all.
             for columns in [[f] for f in found[0]] if len(found) == 1 else [[f for part in found for f in part]]:
                 label = f"{e.name.lower()}({', '.join(n for _, n in columns)})"
-                made[label], key = self.session.functions[e.name][1](columns, F.col(KEY) if has_key(scope.df) else None, args, e.named)
+                # Calls with other arguments are other columns.
+                own = f"{label}{args}{e.named}" if args or e.named else label
+                made[own], key = self.session.functions[e.name][1](columns, F.col(KEY) if has_key(scope.df) else None, args, e.named)
                 if key is not None and self.set_key is not None:
                     self.set_key.append(key)
-                out.append((col(label), label))
+                out.append((col(own), label))
             return out
         if e.kind == "call" and e.name.lower() in SET_FUNCTIONS:
             out = []
@@ -565,7 +567,7 @@ class Compiler:
             over = sub
             branches = [(self.condition(w, scope, over), over(t)[0][0]) for w, t in e.branches]
             out = S.case_when(branches, over(e.otherwise)[0][0] if e.otherwise is not None else None)
-            return [(out, "CASE WHEN")]
+            return [(out, e.text)]
         if e.kind == "scalar_query":
             return [self._scalar(e.query, scope)]
         if e.kind == "call":

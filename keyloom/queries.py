@@ -465,12 +465,12 @@ def native_functions(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import sql_queries  # noqa: F401  registers the dialect's queries
+    from . import sql_queries, tpch_queries  # noqa: F401  registers the dialect's queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import sql_queries  # noqa: F401
+    from . import sql_queries, tpch_queries  # noqa: F401
 
     return dict(_SQL)

@@ -256,8 +256,8 @@ class Session:
         """Mounts a file or database source; ``schema_prefix`` puts its columns below a prefix."""
         o = q.options
         prefix = o.get("schema_prefix") or q.engine
-        if q.engine in ("parquet", "csv", "tsv"):
-            read = files.read_parquet if q.engine == "parquet" else files.read_csv
+        if q.engine in ("parquet", "csv", "tsv", "json"):
+            read = {"parquet": files.read_parquet, "json": files.read_json}.get(q.engine, files.read_csv)
             self.sources[prefix] = read(self.spark, o["dir"], prefix, o.get("key"))
         elif q.engine == "raw":
             self.sources[prefix] = files.read_raw(self.spark, o["dir"], prefix)
@@ -324,6 +324,16 @@ class Session:
         df = self.spark.createDataFrame(frame)
         self._need_store().insert(df.select(F.col(KEY).cast("long").alias(KEY), *(col(c).alias(f"{prefix}.{c}") for c in value_columns(df))))
 
+    def insert_columns(self, paths: list[str], keys: list[int], columns: list[list]) -> None:
+        """A list of values for each path, in the order of the keys."""
+        self.insert([{KEY: k, **{p: c[i] for p, c in zip(paths, columns, strict=True)}} for i, k in enumerate(keys)])
+
+    def save_as(self, df: DataFrame, path: str) -> DataFrame:
+        """Stores a result's one column under a path, by its keys, and gives the result back."""
+        (name,) = value_columns(df)
+        self._need_store().insert(df.select(KEY, col(name).alias(path)))
+        return df
+
     def fetch(self, df: DataFrame, rows: int = 1000):
         """Pages of rows, without collecting the whole result."""
         page = []

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..model import KEY, col, value_columns
 
@@ -37,6 +38,19 @@ def read_csv(spark: SparkSession, path: str, prefix: str | None = None, key: str
     return mounted(df.select(*out), prefix, key)
 
 
+def _leaves(c: Column, name: str, kind: DataType) -> list[Column]:
+    if isinstance(kind, StructType):
+        return [x for f in kind.fields for x in _leaves(c.getField(f.name), f"{name}.{f.name}", f.dataType)]
+    return [(F.to_json(c) if isinstance(kind, (ArrayType, MapType)) else c).alias(name)]
+
+
+def read_json(spark: SparkSession, path: str, prefix: str | None = None, key: str | None = None, **options) -> DataFrame:
+    """Documents: fields of nested objects become dotted paths, arrays are kept as JSON text; rows are numbered unless ``key`` names their key."""
+    df = spark.read.json(path, **options)
+    flat = df.select(*(x for f in df.schema.fields for x in _leaves(col(f.name), f.name, f.dataType)))
+    return mounted(flat if key else _numbered(flat), prefix, key)
+
+
 def read_raw(spark: SparkSession, path: str, prefix: str = "file", page: int = PAGE_BYTES) -> DataFrame:
     """Raw files as pages of bytes: (key, prefix.path, prefix.bytes); the key is the page's offset over the page size in its file."""
     files = spark.read.format("binaryFile").load(path)

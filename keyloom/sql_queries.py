@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,7 +250,7 @@ def stream_downsample(spark, sf):
     static = spark.read.parquet(f"{sf}/events.parquet")
     source = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     out = stream.windowed(source.withColumn("at", F.col("ts").cast("timestamp")), "at", "1 hour", [F.count("*").alias("n")])
-    found = stream.run_to_memory(out.select("window_start", "n"), f"keyloom_{uuid.uuid4().hex}")
+    found = stream.run_to_table(out.select("window_start", "n"), scratch(spark))
     return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 

@@ -15,11 +15,14 @@ def windowed(stream: DataFrame, ts: str, size: str, aggregates: list[Column], sl
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *(c for c in out.columns if c != "window"))
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming query over what there is, and gives its result table."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, path: str) -> DataFrame:
+    """Runs a streaming aggregation over what there is; its result table is in files, those of each batch in place of the last.  No input, no rows."""
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/rows")
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows")
+    query = df.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 def ingest(stream: DataFrame, store: PointStore, checkpoint: str):

@@ -57,7 +57,7 @@ def test_sql_finds_rows(name):
     assert c.execute(oracle_sql()[name]).fetchone() is not None
 
 
-@pytest.mark.parametrize("name", ["sql_q3", "sql_q5", "sql_q7", "sql_q8", "sql_q10", "sql_q14", "sql_q17", "sql_q18", "sql_q19", "sql_q21", "join_inner", "join_natural", "join_left_outer"])
+@pytest.mark.parametrize("name", ["sql_q2", "sql_q3", "sql_q4", "sql_q5", "sql_q7", "sql_q8", "sql_q9", "sql_q10", "sql_q12", "sql_q14", "sql_q17", "sql_q18", "sql_q19", "sql_q20", "sql_q21", "join_inner", "join_natural", "join_left_outer"])
 def test_equalities_are_join_keys(spark, name):
     plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan

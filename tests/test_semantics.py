@@ -174,3 +174,27 @@ def test_curve_matching_searches_all_events(spark):
     at, d = plain_match(events.event_id.tolist(), events.value.to_numpy(float), [1.0, 2.0, 3.0, 2.0, 1.0, 0.0, 1.0, 2.0], 5)
     (found,) = queries()["curve_matching"](spark, "/root/testdata/sf0.001").collect()
     assert at >= 400 and found[KEY] == at and abs(found.distance - d) < 1e-9
+
+
+@pytest.mark.parametrize("per_range", [7, 1000])
+def test_one_series_is_cut_into_ranges(spark, per_range):
+    rows = [(3 * k + k % 2, None if k % 11 == 5 else float(k * k % 17)) for k in range(200)]
+    df = spark.createDataFrame(rows, "key long, v double").repartition(3)
+    full = [r for r in rows if r[1] is not None]
+    pairs = list(zip(full, full[1:], strict=False))
+    got = lambda out: [(r[0], round(r[1], 9)) for r in out.orderBy("key").collect()]
+    assert got(X.diff(df, "v", per_range=per_range)) == [(b[0], b[1] - a[1]) for a, b in pairs]
+    assert got(X.rate(df, "v", 10, per_range=per_range)) == [(b[0], round((b[1] - a[1]) * 10 / (b[0] - a[0]), 9)) for a, b in pairs]
+    assert got(X.sampler(df, "v", 10, per_range=per_range)) == [(b[0], round(b[1] * 10 / (b[0] - a[0]), 9)) for a, b in pairs]
+    assert got(X.diff(df.where("v IS NULL"), "v", per_range=per_range)) == []
+
+
+@pytest.mark.parametrize("p", [0.0, 0.3, 0.5, 1.0])
+def test_percentiles_are_exact(spark, p):
+    rows = [(k, "ab"[k % 2], None if k % 7 == 0 else float(k * k % 5)) for k in range(60)]
+    found = X.bucketed(spark.createDataFrame(rows, "key long, g string, v double"), "v", "percentile", 20, ["g"], p=p)
+    values = {}
+    for k, g, v in rows:
+        if v is not None:
+            values.setdefault((k // 20 * 20, g), []).append(v)
+    assert sorted(map(tuple, found.collect())) == sorted((*b, sorted(v)[int(p * (len(v) - 1))]) for b, v in values.items())

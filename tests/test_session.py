@@ -9,6 +9,7 @@ from keyloom.jobs import Job, next_run
 from keyloom.plans.lexer import SqlError
 from keyloom.plans.parser import parse
 from keyloom.session import Session
+from keyloom.sources import files
 from keyloom.udf import adapter, frames
 
 
@@ -200,3 +201,23 @@ def test_compaction_that_stops_half_way_brings_nothing_back(s):
     s.sql("COMPACT;")
     assert got(s.sql("SELECT a, b, c FROM test;")) == want
     assert len({s.store._next() for _ in range(3)}) == 3
+
+
+def test_set_functions_over_different_cases(s):
+    found = s.sql("SELECT SUM(CASE WHEN a = 1 THEN 1 ELSE 0 END) AS x, SUM(CASE WHEN a <> 1 THEN 1 ELSE 0 END) AS y FROM test;")
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+
+
+def test_set_functions_with_different_arguments(s):
+    s.register_udaf("over", lambda data, args, kvargs: [["n"], ["LONG"], [sum(r[1] > args[0] for r in data[2:])]], "bigint")
+    assert [tuple(r)[-2:] for r in s.sql("SELECT over(a, 0) AS x, over(a, 2) AS y FROM test;").collect()] == [(3, 1)]
+
+
+def test_documents_columns_and_saved_series(s, tmp_path):
+    (tmp_path / "d.json").write_text('{"id": 7, "o": {"x": 1, "deep": {"y": "z"}}, "l": [1, 2]}\n{"id": 9, "o": {"x": 2}}\n')
+    s.mount("doc", files.read_json(s.spark, str(tmp_path / "d.json"), key="id"))
+    assert got(s.sql("SELECT o.x, o.deep.y, l FROM doc;")) == [(7, 1, "z", "[1,2]"), (9, 2, None, None)]
+    s.insert_columns(["c.a", "c.b"], [4, 5], [[1, 2], ["u", None]])
+    assert got(s.sql("SELECT a, b FROM c;")) == [(4, 1, "u"), (5, 2, None)]
+    s.save_as(s.sql("SELECT a FROM c;"), "kept.a")
+    assert got(s.sql("SELECT a FROM kept;")) == [(4, 1), (5, 2)]
