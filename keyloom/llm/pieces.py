@@ -9,14 +9,15 @@ gathered side by side.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Marks that the split pattern takes together when they follow a word.
-STOPS = ".,;:!?"
+#: Marks that the split pattern takes together when they follow a word; an apostrophe may start a match of its own.
+STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 WHITE = regex.compile(r"[\s\x1c-\x1f\x85]")
 #: Longer words aren't remembered.
 LONGEST = 48
@@ -32,23 +33,22 @@ class Remembered:
         """The values of distinct words; those of words that aren't remembered are made together."""
         values = list(map(self.new.get, words))
         missing = [i for i, v in enumerate(values) if v is None]
-        again = [(i, v) for i in missing if (v := self.old.get(words[i])) is not None]
-        if again:
-            for i, v in again:
-                values[i] = v
-                self._put(words[i], v)
-            missing = [i for i in missing if values[i] is None]
-        for i, v in zip(missing, make([words[i] for i in missing]), strict=True):
+        if not missing:
+            return values
+        lost = [words[i] for i in missing]
+        found = list(map(self.old.get, lost))
+        made = iter(make([w for w, v in zip(lost, found, strict=True) if v is None]))
+        found = [next(made) if v is None else v for v in found]
+        for i, v in zip(missing, found, strict=True):
             values[i] = v
-            self._put(words[i], v)
+        if len(self.new) + len(lost) > self.most:
+            self.old, self.new = self.new, {}
+        self.new.update(islice(zip(lost, found, strict=True), self.most))
+        for w in lost:
+            if len(w) > LONGEST:
+                self.new.pop(w, None)
         return values
 
-    def _put(self, word: str, value: bytes) -> None:
-        if len(word) <= LONGEST:
-            if len(self.new) >= self.most:
-                self.old, self.new = self.new, {}
-            self.new[word] = value
-
 
 def plain(stem: str) -> bool:
     """Whether a word is of letters only, of scripts that all Unicode versions agree on."""
@@ -77,6 +77,11 @@ def last_bytes(strings: pa.Array) -> np.ndarray:
     return out
 
 
+def listed(strings: pa.Array) -> list[str]:
+    """The strings of a null-free array, in one go."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 _SPACES = np.array([chr(b).isspace() for b in range(128)] + [False] * 128)
 
 
@@ -136,30 +141,48 @@ class PieceEncoder:
         for i in np.flatnonzero(unsafe):
             used[at[i] : at[i + 1]] = False
         wanted = np.bincount(codes[used], minlength=len(names)) > 0
-        # Most pieces are a word of letters, with marks behind it or without.
-        stems = pc.ascii_rtrim(names, characters=STOPS)
-        tail = (pc.binary_length(names).to_numpy(zero_copy_only=False) - pc.binary_length(stems).to_numpy(zero_copy_only=False)).astype(np.int64)
-        simple = wanted & plain_words(stems)
-        coded = stems.filter(pa.array(simple)).dictionary_encode()
-        words = [" " + w for w in coded.dictionary.to_pylist()]
+        # Most pieces are a word of letters, with marks behind it or without, or two of them with a line break between.
+        lines = pc.split_pattern(names, "\n")
+        two = np.flatnonzero(wanted & (pc.list_value_length(lines).to_numpy(zero_copy_only=False) == 2))
+        parts = pa.concat_arrays([names, lines.take(pa.array(two)).flatten()])
+        stems = pc.ascii_rtrim(parts, characters=STOPS)
+        tail = (pc.binary_length(parts).to_numpy(zero_copy_only=False) - pc.binary_length(stems).to_numpy(zero_copy_only=False)).astype(np.int64)
+        good, last = plain_words(stems), last_bytes(parts)
+        one = np.flatnonzero(wanted & good[: len(names)])
+        halves = len(names) + 2 * np.flatnonzero(good[len(names) :: 2] & good[len(names) + 1 :: 2])
+        two = two[(halves - len(names)) >> 1]
+        spaced = stems.take(pa.array(np.concatenate([one, halves]))).dictionary_encode()
+        bare = stems.take(pa.array(halves + 1)).dictionary_encode()
+        words = listed(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), spaced.dictionary, pa.scalar("", pa.large_string()))) + listed(bare.dictionary)
         numbers = dict(zip(words, range(len(words)), strict=True))
         number = numbers.setdefault
         tail_of = np.array([number(chr(b), len(numbers)) if chr(b) in STOPS else 0 for b in range(256)], np.int64)
-        rows = np.flatnonzero(simple)
-        marks = tail_of[ends[rows]]
-        for i in np.flatnonzero(tail[rows] > 1).tolist():
-            piece = names[rows[i]].as_py()
-            marks[i] = number(piece[len(piece.rstrip(STOPS)) :], len(numbers))
-        sizes = 1 + (tail[rows] > 0)
-        spelt = np.zeros(int(sizes.sum()), np.int64)
-        spelt[np.cumsum(sizes) - sizes] = coded.indices.to_numpy()
-        spelt[(np.cumsum(sizes) - 1)[sizes > 1]] = marks[sizes > 1]
+        line = number("\n", len(numbers))
+
+        def marks(at: np.ndarray) -> np.ndarray:
+            """The numbers of what follows these parts' stems."""
+            out = tail_of[last[at]]
+            many = np.flatnonzero(tail[at] > 1)
+            out[many] = [number(part[-n:], len(numbers)) for part, n in zip(listed(parts.take(pa.array(at[many]))), tail[at[many]].tolist(), strict=True)]
+            return out
+
+        spaced, bare = spaced.indices.to_numpy(), bare.indices.to_numpy() + np.int64(len(spaced.dictionary))
+        ones = np.stack([spaced[: len(one)], marks(one)], axis=1)
+        twos = np.stack([spaced[len(one) :], marks(halves), np.full(len(halves), line), bare, marks(halves + 1)], axis=1)
+        has_one = np.stack([np.ones(len(one), bool), tail[one] > 0], axis=1)
+        has_two = np.ones(twos.shape, bool)
+        has_two[:, 1], has_two[:, 4] = tail[halves] > 0, tail[halves + 1] > 0
+        rows = np.concatenate([one, two])
+        simple = np.zeros(len(names), bool)
+        simple[rows] = True
+        spelt = np.concatenate([ones[has_one], twos[has_two]]).astype(np.int64)
+        sizes = np.concatenate([has_one.sum(axis=1), has_two.sum(axis=1)])
         # All other pieces, nothing, and the texts' first pieces follow.
         others = np.flatnonzero(wanted & ~simple)
         place = np.full(len(names), len(rows) + len(others), np.int64)
         place[rows], place[others] = np.arange(len(rows)), len(rows) + np.arange(len(others))
         more, more_sizes = [], []
-        for piece in names.take(pa.array(others)).to_pylist():
+        for piece in listed(names.take(pa.array(others))):
             found = self._piece(piece)
             more.extend([number(w, len(numbers)) for w in found])
             more_sizes.append(len(found))

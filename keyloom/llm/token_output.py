@@ -65,9 +65,11 @@ class PieceTokenizer(PieceEncoder):
         self.bytes = {ord(letter): b for b, letter in self.letters.items()}
 
     def _encoded(self, words: list[str]) -> list[bytes]:
-        # Byte-level vocabularies spell a word's bytes in letters.
-        tokenize, letters, space = self.model.tokenize, self.letters, self.letters[32]
-        spelt = (space + w[1:] if w[0] == " " and w.isascii() and w[1:].isalpha() else w.encode().decode("latin-1").translate(letters) for w in words)
+        if not words:
+            return []
+        # Byte-level vocabularies spell a word's bytes in letters; no text has the byte 255.
+        tokenize = self.model.tokenize
+        spelt = b"\xff".join([w.encode() for w in words]).decode("latin-1").translate(self.letters).split(self.letters[255])
         return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelt]
 
     def _whole(self, text: str) -> list[str]:

@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 from test_operators import components_of, documents, prose, texts
 
-from keyloom.llm import ngram_join
+from keyloom.llm import bpe, ngram_join, token_output
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
 def test_signatures_take_the_same_room_for_any_number_of_tasks():
@@ -28,3 +30,34 @@ def test_classes_that_share_a_handle_lose_no_link(spark, monkeypatch, bits):
     monkeypatch.setattr(ngram_join, "PAIRED", 3)
     rows = list(enumerate(texts()))
     assert sorted(tuple(r) for r in ngram_join.jaccard_components(documents(spark)).collect()) == components_of(rows)
+
+
+def encoders():
+    yield token_output.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    yield bpe.TextEncoder(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def test_words_with_marks_and_line_breaks_are_not_cut_one_by_one(monkeypatch):
+    for encoder in encoders():
+        monkeypatch.setattr(encoder, "_whole", None)
+        monkeypatch.setattr(encoder, "_piece", None)
+        encoder.encode(pa.array(["Eins zwei*** drei,&&& vier.\nFünf sechs\nSieben-- acht$\nNeun%%% zehn."], pa.large_string()))
+
+
+@pytest.mark.parametrize("remembered", [3, 10**6])
+def test_pieces_are_cut_as_the_pattern_does(remembered):
+    rng = random.Random(11)
+    letters = ["a", "Be", "é", "ß", "s", "re", "ll", "日", "\u0661", "7", "'", "'s", "*", ".", "_", "-", "$$", "\\", "]", "^", "|", "\n", "\n", "\r", "\t", "\x1c", "\x85", "\xa0", "\u3000", " ", " ", " ", " ", "  ", "\u0301", "\U0001f600", "ʼ"]
+    made = ["", " ", "\n", "a\n", "\na", "a\nb", "x a\n\nb", "x \n", "x a.\n*b", "x 's", "x a's*", *("".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(3000)), "w" * 100 + " " + "w" * 100]
+    for encoder in encoders():
+        encoder.known.most = remembered
+        if isinstance(encoder, bpe.TextEncoder):
+            import tiktoken
+
+            library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+            want = [library.encode_ordinary(t) for t in made]
+        else:
+            want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in made]
+        for _ in range(2):
+            ids, sizes = encoder.encode(pa.array(made, pa.large_string()))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
