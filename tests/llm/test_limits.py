@@ -1,13 +1,15 @@
 """What must hold at any size: bytes shuffled, and steps that are written in full."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from test_operators import components_of, documents, prose, texts
 
-from keyloom.llm import bpe, ngram_join, token_output
+from keyloom.llm import bpe, chat, ngram_join, token_output
+from keyloom.llm.workspace import Workspace
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -61,3 +63,19 @@ def test_pieces_are_cut_as_the_pattern_does(remembered):
         for _ in range(2):
             ids, sizes = encoder.encode(pa.array(made, pa.large_string()))
             assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_chat_examples_are_written_in_full(spark, tmp_path, monkeypatch):
+    rows = [(7, i, ["system", "user", "assistant"][i % 3], f"text {i} <|im_end|>") for i in range(9)] + [(8, 0, "assistant", None), (8, 1, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(chat, "Workspace", lambda spark, name: made.append(Workspace(spark, name)) or made[-1])
+    made = []
+    out = {r.conv_id: r for r in chat.op6_chat_formatting(spark, str(tmp_path)).collect()}
+    folders = [f for f in Path(made[0].path.removeprefix("file://")).iterdir()]
+    written = spark.read.parquet(*map(str, folders)).where("conv_id = 7").orderBy("position").collect()
+    assert len(written) == 9
+    for r in written:
+        whole = "".join(x.formatted for x in written[: r.position])
+        assert r.context == (whole if r.position % 3 == 2 else None)
+    assert out[7].context_chars == sum(len(r.context) for r in written if r.example) and out[7].n_examples == 3
+    assert (out[8].n_examples, out[8].context_chars, out[8].loss_chars) == (1, 0, 0)
