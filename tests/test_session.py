@@ -10,7 +10,7 @@ from keyloom.plans.lexer import SqlError
 from keyloom.plans.parser import parse
 from keyloom.session import Session
 from keyloom.sources import files
-from keyloom.udf import adapter, frames
+from keyloom.udf import adapter, frames, rows
 
 
 def got(df):
@@ -213,6 +213,41 @@ def test_set_functions_with_different_arguments(s):
     assert [tuple(r)[-2:] for r in s.sql("SELECT over(a, 0) AS x, over(a, 2) AS y FROM test;").collect()] == [(3, 1)]
 
 
+def test_set_functions_see_rows_without_holding_them(s, monkeypatch):
+    """Groups larger than what stays in memory go through a file; functions that go over their rows hold none."""
+    monkeypatch.setattr(rows, "IN_MEMORY", 1000)
+    n, spark = 50_000, s.spark
+    s.mount("big", spark.range(n).selectExpr("id AS key", "id % 2 AS g", "IF(id = 7, NULL, CAST(id AS DOUBLE)) AS v", "CAST(id AS STRING) AS w"))
+
+    def seen(data, args, kvargs):
+        body = data[2:]
+        assert not isinstance(data, list) and data[:2] == [["key", "big.v", "big.w"], ["LONG", "DOUBLE", "DOUBLE"]]
+        assert len(data) == len(body) + 2 == n // 2 + 2 and data[2] == body[0] and list(reversed(body))[0] == body[-1] == data[len(data) - 1]
+        assert [body[i] for i in range(0, len(body), 997)] == list(body[::997]) and not data[len(data) :]
+        return [["n"], ["DOUBLE"], [sum(r[0] + int(r[2]) for r in data[2:]) + sum(r[1] is None for r in body)]]
+
+    def held(data, args, kvargs):
+        import tracemalloc
+
+        tracemalloc.start()
+        for r in data[2:]:
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return [["n"], ["DOUBLE"], [peak / len(data)]]
+
+    s.register_udaf("seen", seen, "bigint")
+    s.register_udaf("held", held)
+    want = [(g, 2 * sum(range(g, n, 2)) + g) for g in (0, 1)]
+    assert sorted(tuple(r) for r in s.sql("SELECT g, seen(v, w) AS n FROM big GROUP BY g;").collect()) == want
+    # A row as a list takes over 100 bytes; two batches of 10,000 rows are held at most.
+    monkeypatch.setattr(rows, "HELD", 1)
+    s.mount("long", spark.range(0, 400_000, 1, 2).selectExpr("id AS key", "CAST(id AS DOUBLE) AS v"))
+    assert s.sql("SELECT held(v) AS n FROM long;").first()[0] < 20
+    with pytest.raises(ValueError, match="beside others"):
+        s.sql("SELECT held(v), COUNT(v) FROM long;")
+
+
 def test_documents_columns_and_saved_series(s, tmp_path):
     (tmp_path / "d.json").write_text('{"id": 7, "o": {"x": 1, "deep": {"y": "z"}}, "l": [1, 2]}\n{"id": 9, "o": {"x": 2}}\n')
     s.mount("doc", files.read_json(s.spark, str(tmp_path / "d.json"), key="id"))
