@@ -26,6 +26,38 @@ def test_signatures_take_the_same_room_for_any_number_of_tasks():
         assert sum(len(v) for r in rows for v in r.values() if isinstance(v, bytes)) <= 12 * found
 
 
+def test_passes_share_the_signatures_out():
+    rng = random.Random(6)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([prose(rng, 300) for _ in range(40)]), pa.nulls(40, pa.string())], ["doc_id", "text", "carried"])
+
+    def emitted(**part):
+        rows = [r for b in ngram_join._emit(5, 75, 10, np.zeros(0, np.uint64), **part)([batch]) for r in b.to_pylist()]
+        return [r for r in rows if r["sigs"] is None], {r["r"]: r for r in rows if r["sigs"] is not None}
+
+    def facts(x):
+        return np.sort(np.frombuffer(x["sigs"], np.uint32)).tolist(), x["counts"], x["handles"]
+
+    docs, whole = emitted()
+    first = 0
+    for part in range(4):
+        own, some = emitted(part=part, parts=4)
+        assert [r["doc_id"] for r in own] == ([r["doc_id"] for r in docs] if part == 0 else [])
+        assert sum(len(r["sigs"]) for r in some.values()) < 0.4 * sum(len(r["sigs"]) for r in whole.values())
+        lo, hi = ngram_join.part_range(10, part, 4)
+        assert lo == first and {r + lo: facts(x) for r, x in some.items()} == {r: facts(x) for r, x in whole.items() if lo <= r < hi}
+        first = hi
+    assert first == 10
+
+
+def test_passes_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PASS_DOCUMENTS", 10)
+    written = []
+    write = Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    assert sorted(tuple(r) for r in ngram_join.jaccard_components(documents(spark)).collect()) == components_of(list(enumerate(texts())))
+    assert [x for x in written if x.startswith("met")] == ["met0", "met1", "met2", "met3"]
+
+
 @pytest.mark.parametrize("bits", [0, 3])
 def test_classes_that_share_a_handle_lose_no_link(spark, monkeypatch, bits):
     monkeypatch.setattr(ngram_join, "HANDLE_BITS", bits)
